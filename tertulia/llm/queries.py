@@ -4,13 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tertulia.llm import mixing, tokens
+from tertulia.llm import mixing, runs, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.event_runs(table(spark, sf_dir, "turns"), table(spark, sf_dir, "interviews"), min_turns=2)
+    return found.selectExpr("interview_id", "cast(first_pos as int) first_pos", "cast(last_pos as int) last_pos")
+
+
+def p2_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.event_runs(table(spark, sf_dir, "turns"), table(spark, sf_dir, "interviews"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -23,5 +32,5 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(p7_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+QUERIES = {"p2_found": p2_found, "p2_events": p2_events, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
 ORACLES: dict[str, str] = {}
