@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tertulia.llm import mixing, runs, tokens
+from tertulia.llm import mixing, runs, tokens, transcripts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,14 @@ def p2_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.event_runs(table(spark, sf_dir, "turns"), table(spark, sf_dir, "interviews"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcripts.turn_starts(table(spark, sf_dir, "import_turns"), table(spark, sf_dir, "interviews")).distinct()
+
+
+def p4_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcripts.clean_turns(table(spark, sf_dir, "import_turns"), table(spark, sf_dir, "interviews"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -32,5 +40,5 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(p7_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_events": p2_events, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+QUERIES = {"p4_found": p4_found, "p4_turns": p4_turns, "p2_found": p2_found, "p2_events": p2_events, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
 ORACLES: dict[str, str] = {}

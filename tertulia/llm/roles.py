@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 INTERVIEWER, SUBJECT = "interviewer", "subject"
 
 # Labels of the two roles, folded (lower case, no accents).
-INTERVIEWER_LABELS = ["interviewer", "investigador", "investigadora", "entrevistador", "entrevistadora", "moderador", "moderadora", "pregunta", "preg", "inv", "int", "entr", "p", "q"]
-SUBJECT_LABELS = ["subject", "sujeto", "entrevistado", "entrevistada", "participante", "respuesta", "respondent", "informante", "resp", "part", "suj", "r", "a"]
+INTERVIEWER_LABELS = ["interviewer", "investigador", "investigadora", "entrevistador", "entrevistadora", "moderador", "moderadora", "pregunta", "preg", "inv", "p"]
+SUBJECT_LABELS = ["subject", "sujeto", "entrevistado", "entrevistada", "participante", "respuesta", "respondent", "informante", "resp", "part", "suj", "r"]
 
 _ACCENTED, _PLAIN = "áàâãäéèêëíìîïóòôõöúùûüñç", "aaaaaeeeeiiiiooooouuuunc"
 
@@ -44,3 +44,56 @@ def with_subject_types(rows: DataFrame, interviews: DataFrame, chunk: str) -> Da
     known = chunks.join(subject_types(interviews), "interview_id", "left")
     each = known.select("interview_id", F.explode("_chunks").alias(chunk), "types", (F.size("_chunks") > 1).alias("split"))
     return rows.join(each, ["interview_id", chunk])
+
+
+def swaps_apart(a: str, b: str, most: int) -> int:
+    """Edit distance with swaps of neighbours; most + 1 if it is greater than most."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    before, above = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            cost = min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                cost = min(cost, before[j - 2] + 1)
+            row.append(cost)
+        if min(row) > most:
+            return most + 1
+        before, above = above, row
+    return above[-1]
+
+
+class RoleReader:
+    """Reads labels of one set of subject types: exact, as the first word of a type, or with one slip (two in a column)."""
+
+    def __init__(self, types: tuple[str, ...]):
+        names = dict.fromkeys(INTERVIEWER_LABELS, INTERVIEWER) | dict.fromkeys(SUBJECT_LABELS, SUBJECT)
+        for t in types:
+            names.setdefault(t.split()[0], SUBJECT)
+            names[t] = SUBJECT
+        self.names, self.read = names, {}
+
+    def role(self, label: str | None, slips: int = 1) -> str | None:
+        """'interviewer', 'subject' or None if the label is blank or neither."""
+        key = (label, slips)
+        if key not in self.read:
+            if len(self.read) > 100_000:
+                self.read.clear()
+            self.read[key] = self._role(fold(label or ""), slips)
+        return self.read[key]
+
+    def _role(self, plain: str, slips: int) -> str | None:
+        unnumbered = plain.rstrip("0123456789 ")
+        for x in (plain, unnumbered):
+            if x in self.names:
+                return self.names[x]
+        near = []
+        for name, role in self.names.items():
+            most = min(slips, len(name) // 4)
+            if most:
+                tails = (plain, unnumbered) if plain != unnumbered else (plain,)
+                d = min(swaps_apart(x, name, most) for x in [*tails, plain[:-1].rstrip() if plain[-1:].isdigit() else plain])
+                if d <= most:
+                    near.append((d, name, role))
+        return min(near)[2] if near else None
