@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tertulia.llm import mixing, runs, tokens, transcripts
+from tertulia.llm import mixing, mojibake, runs, tokens, transcripts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,5 +40,13 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(p7_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_turns": p4_turns, "p2_found": p2_found, "p2_events": p2_events, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.restored(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.restored(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p8_found": p8_found, "p8_restored": p8_restored, "p4_found": p4_found, "p4_turns": p4_turns, "p2_found": p2_found, "p2_events": p2_events, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
 ORACLES: dict[str, str] = {}
