@@ -4,13 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tertulia.llm import mixing, mojibake, runs, tokens, transcripts
+from tertulia.llm import mixing, mojibake, runs, tokens, transcripts, vocabulary
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary.mapped_fields(table(spark, sf_dir, "interviews"), table(spark, sf_dir, "glossary_changes"), table(spark, sf_dir, "glossary_terms"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mapped(spark, sf_dir).select("field", "interview_id", "item", "term_id")
+
+
+def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values that stand for no entry, and how often each field has them."""
+    return _mapped(spark, sf_dir).where("term_id = -1").groupBy("value", "field").count().withColumnRenamed("count", "n")
+
+
+def p1_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry within the allowed edits of each distinct value."""
+    typed = vocabulary.typed_values(table(spark, sf_dir, "interviews"), table(spark, sf_dir, "glossary_changes"))
+    return vocabulary.all_matches(typed, table(spark, sf_dir, "glossary_terms"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = runs.event_runs(table(spark, sf_dir, "turns"), table(spark, sf_dir, "interviews"), min_turns=2)
     return found.selectExpr("interview_id", "cast(first_pos as int) first_pos", "cast(last_pos as int) last_pos")
@@ -48,5 +67,5 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.restored(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p8_found": p8_found, "p8_restored": p8_restored, "p4_found": p4_found, "p4_turns": p4_turns, "p2_found": p2_found, "p2_events": p2_events, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p1_matches": p1_matches, "p8_found": p8_found, "p8_restored": p8_restored, "p4_found": p4_found, "p4_turns": p4_turns, "p2_found": p2_found, "p2_events": p2_events, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
 ORACLES: dict[str, str] = {}
