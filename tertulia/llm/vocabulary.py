@@ -172,8 +172,8 @@ def with_entries(rows: DataFrame, terms: DataFrame, keep: list[str], value_col:
             columns = [*b.columns, pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "value", "term_id", "edits", "matched"])
 
-    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep)
-    return rows.select(*keep, F.col(value_col).cast("string").alias("value")).mapInArrow(run, f"{kinds}, value string, term_id int, edits int, matched string")
+    kinds = [*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep), "value string, term_id int, edits int, matched string"]
+    return rows.select(*keep, F.col(value_col).cast("string").alias("value")).mapInArrow(run, ", ".join(kinds))
 
 
 def mapped_values(values: DataFrame, terms: DataFrame, value_col: str = "value", **reference: str) -> DataFrame:
