@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tertulia.llm import mixing, mojibake, runs, tokens, transcripts, vocabulary
+from tertulia.llm import mixing, mojibake, pii, runs, tokens, transcripts, vocabulary
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,15 @@ def p2_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.event_runs(table(spark, sf_dir, "turns"), table(spark, sf_dir, "interviews"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found_kinds(table(spark, sf_dir, "turns"), ["interview_id", "pos"])
+
+
+def p3_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every delivered turn with personal data replaced."""
+    return pii.redacted(table(spark, sf_dir, "turns"), ["interview_id", "pos"])
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.turn_starts(table(spark, sf_dir, "import_turns"), table(spark, sf_dir, "interviews")).distinct()
 
@@ -67,5 +76,5 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.restored(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p1_matches": p1_matches, "p8_found": p8_found, "p8_restored": p8_restored, "p4_found": p4_found, "p4_turns": p4_turns, "p2_found": p2_found, "p2_events": p2_events, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+QUERIES = {"p3_found": p3_found, "p3_turns": p3_turns, "p1_found": p1_found, "p1_unmatched": p1_unmatched, "p1_matches": p1_matches, "p8_found": p8_found, "p8_restored": p8_restored, "p4_found": p4_found, "p4_turns": p4_turns, "p2_found": p2_found, "p2_events": p2_events, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
 ORACLES: dict[str, str] = {}
