@@ -24,6 +24,10 @@ OTHER_NUMBERS = "serie|planilla|ticket|folio|muestra|medidor|lote|sala|página|r
 OTHER_NAMES = "villa santa|villa san|colegio san|colegio santa|escuela|liceo|hospital|fundación|puerto|estero|cerro|caleta|población|programa|plan|red|mesa|beca|fondo|unidad|oficina|villa|alto|junta|casa del"
 NUMBER_WORDS = "cero un uno una dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciséis diecisiete dieciocho diecinueve veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento doscientos trescientos cuatrocientos quinientos seiscientos setecientos ochocientos novecientos mil"
 
+FUNCTION_WORDS = "a al ante antes así aunque bajo cada como con cuando de del desde donde durante el en entre es ese esa eso este esta esto fue ha hasta la las le les lo los más me mi muy ni no nos o para pero por porque que qué se según si sí sin sobre su también tan te todavía tu un una uno usted y ya yo"
+
+_OTHER_WORD = re.compile(rf"^(?:{OTHER_NAMES})\b|\b(?:caleta|puerto|estero|cerro|programa|beca|fondo|unidad|oficina|convenio)\b", re.I)
+_FUNCTION_WORDS = frozenset(FUNCTION_WORDS.split())
 _OTHER_NUMBER = re.compile(rf"\b(?:{OTHER_NUMBERS})\W*$", re.I)
 _OTHER_NAME = re.compile(rf"\b(?:{OTHER_NAMES})\s+$", re.I)
 _NUMBER = re.compile(rf"\d|\b(?:{NUMBER_WORDS.replace(' ', '|')}|veinti\w+)\b", re.I)
@@ -54,7 +58,9 @@ def checked(text: str, a: int, b: int, kind: str) -> tuple[int, int, str] | None
     elif kind == "address":
         good = bool(_NUMBER.search(span)) and any(len(w) > 2 and not w.isdigit() for w in _WORD.findall(span))
     else:
-        good = any(len(w) > 1 for w in _WORD.findall(span)) and not any(c.isdigit() for c in span) and not _OTHER_NAME.search(text[max(0, a - 40) : a])
+        words = _WORD.findall(span)
+        good = any(len(w) > 1 and w.lower() not in _FUNCTION_WORDS for w in words) and not any(c.isdigit() for c in span)
+        good = good and not _OTHER_WORD.search(span) and not _OTHER_NAME.search(text[max(0, a - 40) : a])
     return (a, b, kind) if good and b > a else None
 
 

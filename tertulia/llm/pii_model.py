@@ -18,9 +18,14 @@ WEIGHTS = Path(__file__).with_name("pii_weights.npz")
 GATES = ("wx_f", "wh_f", "wx_b", "wh_b")
 
 
+_TABLE = np.ones(max(map(ord, CODES)) + 2, np.uint8)  # the last place stands for all characters beyond
+for _c, _k in CODES.items():
+    _TABLE[ord(_c)] = _k
+
+
 def codes(text: str) -> np.ndarray:
-    get = CODES.get
-    return np.fromiter((get(c, 1) for c in text), np.uint8, len(text))
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return _TABLE[np.minimum(points, len(_TABLE) - 1)]
 
 
 def fresh(hidden: int, seed: int) -> dict[str, np.ndarray]:
@@ -146,26 +151,50 @@ class Tagger:
             found[k] = total / weight
         return found
 
-    def decode(self, e: np.ndarray) -> np.ndarray | None:
-        """The best labels of one whole text under the CRF; None if all are 0."""
-        if not len(e) or (e[:, 0] - e[:, 1:].max(1) > self.lead).all():
-            return None
-        best, back = self.start + e[0], np.empty(e.shape, np.int8)
-        for t in range(1, len(e)):
-            options = best[:, None] + self.trans
-            back[t] = options.argmax(0)
-            best = options.max(0) + e[t]
-        labels = np.empty(len(e), np.int8)
-        labels[-1] = best.argmax()
-        for t in range(len(e) - 1, 0, -1):
-            labels[t - 1] = back[t][labels[t]]
-        return labels if labels.any() else None
+    def decode(self, each: list[np.ndarray]) -> list[np.ndarray | None]:
+        """The best labels of whole texts under the CRF; None where all are 0.
+
+        Texts are decoded side by side, in falling order of length.
+        """
+        found: list = [None] * len(each)
+        open_texts = [k for k, e in enumerate(each) if len(e) and not (e[:, 0] - e[:, 1:].max(1) > self.lead).all()]
+        open_texts.sort(key=lambda k: -len(each[k]))
+        for lo in range(0, len(open_texts), self.BATCH):
+            part = open_texts[lo : lo + self.BATCH]
+            lengths = np.array([len(each[k]) for k in part])
+            size = lengths[0]
+            e = np.zeros((size, len(part), len(LABELS)), np.float32)
+            for row, k in enumerate(part):
+                e[: lengths[row], row] = each[k]
+            live = np.searchsorted(-lengths, -np.arange(size), "left")
+            best = np.empty_like(e)
+            best[0] = self.start + e[0]
+            for t in range(1, size):
+                n = live[t]
+                before, now = best[t - 1, :n], best[t, :n]
+                np.add(before[:, :1], self.trans[0], out=now)
+                for i in range(1, len(LABELS)):
+                    np.maximum(now, before[:, i : i + 1] + self.trans[i], out=now)
+                now += e[t, :n]
+            labels, last = np.zeros((size, len(part)), np.int8), np.zeros(len(part), np.int64)
+            for t in range(size - 1, -1, -1):
+                n = live[t]
+                on = live[t + 1] if t + 1 < size else 0  # texts that go on: their label leads back
+                if on:
+                    last[:on] = (best[t, :on] + self.trans.T[last[:on]]).argmax(1)
+                if n > on:
+                    last[on:n] = best[t, on:n].argmax(1)
+                labels[t, :n] = last[:n]
+            hits = labels.any(0)
+            for row, k in enumerate(part):
+                if hits[row]:
+                    found[k] = labels[: lengths[row], row].copy()
+        return found
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """(start, end, kind) of each text's decoded spans."""
         found = []
-        for e in self.scores(texts):
-            labels = self.decode(e)
+        for labels in self.decode(self.scores(texts)):
             if labels is None:
                 found.append([])
                 continue
