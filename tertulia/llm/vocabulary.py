@@ -157,11 +157,16 @@ def reference_entries(terms: DataFrame, id_col: str = "term_id", term_col: str =
     return tuple(sorted((r.i, r.t) for r in rows))
 
 
+def spread(values: DataFrame) -> DataFrame:
+    """Rows by hash of value in as many partitions as shuffles have: the count is given, so adaptive execution keeps it."""
+    return values.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), "value")
+
+
 def with_entries(rows: DataFrame, terms: DataFrame, keep: list[str], value_col: str = "value", **reference: str) -> DataFrame:
     """keep's columns, value, term_id, edits, matched: each row's value and the entry it stands for; term_id -1 if none, null for null.
 
-    No shuffle: a worker keeps what it has looked up, so a value that fills a third of the rows
-    costs one search a worker.
+    Rows are spread by value, as a search costs far more than its row's bytes tell; a worker
+    keeps what it has looked up, so a value that fills a third of the rows costs one search.
     """
     entries = rows.sparkSession.sparkContext.broadcast(reference_entries(terms, **reference))
 
@@ -173,7 +178,7 @@ def with_entries(rows: DataFrame, terms: DataFrame, keep: list[str], value_col:
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "value", "term_id", "edits", "matched"])
 
     kinds = [*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep), "value string, term_id int, edits int, matched string"]
-    return rows.select(*keep, F.col(value_col).cast("string").alias("value")).mapInArrow(run, ", ".join(kinds))
+    return spread(rows.select(*keep, F.col(value_col).cast("string").alias("value"))).mapInArrow(run, ", ".join(kinds))
 
 
 def mapped_values(values: DataFrame, terms: DataFrame, value_col: str = "value", **reference: str) -> DataFrame:
@@ -199,7 +204,7 @@ def all_matches(values: DataFrame, terms: DataFrame, value_col: str = "value", *
             yield pa.RecordBatch.from_arrays(columns, names=["value", "term_id", "edits", "matched", "place"])
 
     distinct = values.select(F.col(value_col).cast("string").alias("value")).where("value is not null").distinct()
-    return distinct.mapInArrow(run, "value string, term_id int, edits int, matched string, place int")
+    return spread(distinct).mapInArrow(run, "value string, term_id int, edits int, matched string, place int")
 
 
 def typed_values(interviews: DataFrame, changes: DataFrame) -> DataFrame:
