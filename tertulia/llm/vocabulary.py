@@ -114,13 +114,12 @@ class Vocabulary:
                     stack.append((child, tuple(new), state, m))
         return found
 
-    def matches(self, value: str) -> list[tuple[int, int, float]]:
-        """(entry number, edits, likeness), best first: all entries within the edits that their length allows."""
+    def matches(self, value: str, most: int | None = None) -> list[tuple[int, int, float]]:
+        """(entry number, edits, likeness), best first: all entries within the edits that their length allows, and most if given."""
         plain = fold(value).replace(" ", "")
         if not plain:
             return []
-        most = edits_for(len(plain) + 3)
-        near = self.within(plain, most)
+        near = self.within(plain, edits_for(len(plain) + 3) if most is None else most)
         found = []
         for k, (e, rotated) in near.items():
             if e <= edits_for(self.length[k]):
@@ -135,7 +134,8 @@ class Vocabulary:
         if got is None:
             if len(self.known) >= KEPT_VALUES:
                 self.known.clear()
-            found = self.matches(value)
+            # few edits first: what is found with fewer comes before all that needs more
+            found = next((x for most in range(edits_for(len(value) + 3) + 1) if (x := self.matches(value, most))), [])
             got = self.known[value] = (self.entries[found[0][0]][0], found[0][1], self.entries[found[0][0]][1]) if found else (-1, None, None)
         return got
 
