@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tertulia.llm.tokens import count_tokens
 from tertulia.operators.intervals import with_carry
 from tertulia.operators.sizes import small_side
+from tertulia.session import checkpointed
 
 #: Chunks of the 32-bit hash key for the distributed prefix sums: at least 4,096 a source.
 KEY_BITS, CHUNK_SHIFT = 32, 20
@@ -66,9 +67,10 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
 
     Documents without tokens (null, empty), without a source or without a target are not
     chosen; a doc_id given twice counts once; extra columns are ignored; an empty table
-    gives no rows. Ties of the key are broken by doc_id.
+    gives no rows. Ties of the key are broken by doc_id. Texts are encoded once: ids, sources and
+    sizes are written to the checkpoint folder before sums and prefix sums read them.
     """
-    sized = _sized(documents, vocabulary)
+    sized = checkpointed(_sized(documents, vocabulary))
     plan = small_side(_plan(sized, targets, total_tokens).select("source", "max_repeats", "epochs", "rest"))
     keyed = sized.join(plan, "source").withColumn("_key", _hash_key("doc_id", seed)).withColumn("_chunk", F.shiftright("_key", CHUNK_SHIFT))
     within = Window.partitionBy("source", "_chunk").orderBy("_key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
