@@ -8,13 +8,12 @@ summary row, so the per-entity window sees only a row per chunk.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: 2**20 ms are about 17 minutes: a chunk has at most that many distinct start times, an entity
 #: whose times span a year has about 30,000 chunks.
 CHUNK_BITS = 20
+CHUNK_KEY = "__k"
 
 
 def chunk_of(key: str | Column, bits: int = CHUNK_BITS) -> Column:
@@ -22,18 +21,25 @@ def chunk_of(key: str | Column, bits: int = CHUNK_BITS) -> Column:
     return F.shiftright((F.col(key) if isinstance(key, str) else key).cast("bigint"), bits)
 
 
+def keyed(df: DataFrame, entity: list[str], chunk: str) -> DataFrame:
+    """df with CHUNK_KEY, one key for entity and chunk: never null itself, and equal where both parts are, null or not.
+
+    Joins and windows by it share one partitioning, so rows shuffle once for all of them.
+    """
+    return df if CHUNK_KEY in df.columns else df.withColumn(CHUNK_KEY, F.struct(*entity, chunk))
+
+
 def with_carry(df: DataFrame, entity: list[str], chunk: str, summary: dict[str, Column], carry: dict[str, Column]) -> DataFrame:
-    """df with columns that summarise all earlier chunks of its entity.
+    """df with CHUNK_KEY and columns that summarise all earlier chunks of its entity.
 
     summary: per-chunk aggregates. carry: the carried columns, as expressions over the summary
     columns to be evaluated over the entity's earlier chunks. An entity that is null is an
     entity of its own.
     """
-    over = Window.partitionBy(*entity).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    each = df.groupBy(*entity, chunk).agg(*(c.alias(n) for n, c in summary.items()))
-    states = each.select(*(F.col(k).alias(f"_{k}") for k in [*entity, chunk]), *(c.over(over).alias(n) for n, c in carry.items()))
-    same = reduce(lambda a, b: a & b, (df[k].eqNullSafe(states[f"_{k}"]) for k in [*entity, chunk]))
-    return df.join(states, same, "left").drop(*(f"_{k}" for k in [*entity, chunk]))
+    df = keyed(df, entity, chunk)
+    over = Window.partitionBy(*(F.col(f"{CHUNK_KEY}.{k}") for k in entity)).orderBy(F.col(f"{CHUNK_KEY}.{chunk}")).rowsBetween(Window.unboundedPreceding, -1)
+    each = df.groupBy(CHUNK_KEY).agg(*(c.alias(n) for n, c in summary.items()))
+    return df.join(each.select(CHUNK_KEY, *(c.over(over).alias(n) for n, c in carry.items())), CHUNK_KEY, "left")
 
 
 def islands(intervals: DataFrame, entity: str = "interview_id", start: str = "start_ms", end: str = "end_ms", bits: int = CHUNK_BITS) -> DataFrame:
@@ -51,8 +57,8 @@ def islands(intervals: DataFrame, entity: str = "interview_id", start: str = "st
         .agg(F.max("_t").alias("_t"))
         .withColumn("_chunk", chunk_of("_s", bits))
     )
-    before = Window.partitionBy("_e", "_chunk").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("_e", "_chunk").orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(CHUNK_KEY).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(CHUNK_KEY).orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
     carried = with_carry(flat, ["_e"], "_chunk", {"most": F.max("_t")}, {"_carry": F.max("most")})
     reach = F.greatest("_carry", F.max("_t").over(before))  # null only for the entity's first interval
     opened = carried.withColumn("_reach", reach).withColumn("_opens", F.col("_reach").isNull() | (F.col("_s") > F.col("_reach")))

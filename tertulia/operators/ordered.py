@@ -9,36 +9,36 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tertulia.operators.intervals import chunk_of, with_carry
+from tertulia.operators.intervals import CHUNK_KEY, chunk_of, keyed, with_carry
 
 POS_BITS = 12
 
 
-def chunked(df: DataFrame, order: str = "pos", bits: int = POS_BITS) -> DataFrame:
-    return df.withColumn("__chunk", chunk_of(order, bits))
+def chunked(df: DataFrame, entity: str = "interview_id", order: str = "pos", bits: int = POS_BITS) -> DataFrame:
+    return keyed(df.withColumn("__chunk", chunk_of(order, bits)), [entity], "__chunk")
 
 
-def _over(entity: str, order: str):
-    return Window.partitionBy(entity, "__chunk").orderBy(order)
+def _over(order: str):
+    return Window.partitionBy(CHUNK_KEY).orderBy(order)
 
 
 def lagged(df: DataFrame, values: dict[str, Column], entity: str = "interview_id", order: str = "pos", bits: int = POS_BITS) -> DataFrame:
     """df with a column for each value of the row before, null at an entity's first row, and is_first."""
-    df = chunked(df, order, bits)
+    df = chunked(df, entity, order, bits)
     row = F.struct(*(c.alias(n) for n, c in values.items()))
     carried = with_carry(df, [entity], "__chunk", {"last_row": F.max_by(row, F.col(order))}, {"__last": F.last("last_row")})
-    first = F.row_number().over(_over(entity, order)) == 1
-    before = F.when(first, F.col("__last")).otherwise(F.lag(row).over(_over(entity, order)))
+    first = F.row_number().over(_over(order)) == 1
+    before = F.when(first, F.col("__last")).otherwise(F.lag(row).over(_over(order)))
     out = carried.withColumn("__before", before).withColumn("is_first", F.col("__before").isNull())
-    return out.select("*", *(F.col(f"__before.{n}").alias(n) for n in values)).drop("__before", "__last", "__chunk")
+    return out.select("*", *(F.col(f"__before.{n}").alias(n) for n in values)).drop("__before", "__last", "__chunk", CHUNK_KEY)
 
 
 def counted(df: DataFrame, flag: Column, name: str, entity: str = "interview_id", order: str = "pos", bits: int = POS_BITS) -> DataFrame:
     """df with the running count of rows where flag holds, the row itself included."""
-    df = chunked(df, order, bits).withColumn("__flag", flag.cast("bigint"))
+    df = chunked(df, entity, order, bits).withColumn("__flag", flag.cast("bigint"))
     carried = with_carry(df, [entity], "__chunk", {"n": F.sum("__flag")}, {"__offset": F.sum("n")})
-    running = F.sum("__flag").over(_over(entity, order).rowsBetween(Window.unboundedPreceding, 0))
-    return carried.withColumn(name, F.coalesce("__offset", F.lit(0)) + running).drop("__flag", "__offset", "__chunk")
+    running = F.sum("__flag").over(_over(order).rowsBetween(Window.unboundedPreceding, 0))
+    return carried.withColumn(name, F.coalesce("__offset", F.lit(0)) + running).drop("__flag", "__offset", "__chunk", CHUNK_KEY)
 
 
 def renumbered(df: DataFrame, name: str = "pos", entity: str = "interview_id", order: str = "pos", bits: int = POS_BITS) -> DataFrame:
@@ -48,20 +48,20 @@ def renumbered(df: DataFrame, name: str = "pos", entity: str = "interview_id", o
 
 def running(df: DataFrame, value: Column, name: str, how, entity: str = "interview_id", order: str = "pos", bits: int = POS_BITS, itself: bool = True) -> DataFrame:
     """df with how (F.max, F.min or F.sum) of value over the rows so far, the row itself included or not."""
-    df = chunked(df, order, bits).withColumn("__value", value)
+    df = chunked(df, entity, order, bits).withColumn("__value", value)
     carried = with_carry(df, [entity], "__chunk", {"so_far": how("__value")}, {"__carry": how("so_far")})
-    own = how("__value").over(_over(entity, order).rowsBetween(Window.unboundedPreceding, 0 if itself else -1))
+    own = how("__value").over(_over(order).rowsBetween(Window.unboundedPreceding, 0 if itself else -1))
     both = F.coalesce(F.col("__carry") + own, "__carry", own) if how is F.sum else (F.greatest if how is F.max else F.least)("__carry", own)
-    return carried.withColumn(name, both).drop("__value", "__carry", "__chunk")
+    return carried.withColumn(name, both).drop("__value", "__carry", "__chunk", CHUNK_KEY)
 
 
 def filled(df: DataFrame, value: str, name: str, entity: str = "interview_id", order: str = "pos", bits: int = POS_BITS) -> DataFrame:
     """df with the last non-null value so far."""
-    df = chunked(df, order, bits)
+    df = chunked(df, entity, order, bits)
     kept = F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order)))
     carried = with_carry(df, [entity], "__chunk", {"last_value": kept}, {"__carry": F.last("last_value", True)})
-    own = F.last(value, True).over(_over(entity, order).rowsBetween(Window.unboundedPreceding, 0))
-    return carried.withColumn(name, F.coalesce(own, "__carry")).drop("__carry", "__chunk")
+    own = F.last(value, True).over(_over(order).rowsBetween(Window.unboundedPreceding, 0))
+    return carried.withColumn(name, F.coalesce(own, "__carry")).drop("__carry", "__chunk", CHUNK_KEY)
 
 
 def with_neighbours(df: DataFrame, value: str, reach: int, name: str, entity: str = "interview_id", order: str = "pos", bits: int = POS_BITS) -> DataFrame:
@@ -71,8 +71,8 @@ def with_neighbours(df: DataFrame, value: str, reach: int, name: str, entity: st
     """
     low = F.col(order).bitwiseAND(F.lit((1 << bits) - 1))
     there = F.array_compact(F.array(F.lit(0), F.when(low < reach, F.lit(-1)), F.when(low >= (1 << bits) - reach, F.lit(1))))
-    sent = df.withColumn("_to", F.explode(there)).withColumn("__chunk", chunk_of(order, bits) + F.col("_to"))
+    sent = keyed(df.withColumn("_to", F.explode(there)).withColumn("__chunk", chunk_of(order, bits) + F.col("_to")), [entity], "__chunk")
     near = F.collect_list(F.col(value))
-    before = near.over(_over(entity, order).rowsBetween(-reach, -1))
-    behind = near.over(_over(entity, order).rowsBetween(1, reach))
-    return sent.withColumn(name, F.concat(before, behind)).where("_to = 0").drop("_to", "__chunk")
+    before = near.over(_over(order).rowsBetween(-reach, -1))
+    behind = near.over(_over(order).rowsBetween(1, reach))
+    return sent.withColumn(name, F.concat(before, behind)).where("_to = 0").drop("_to", "__chunk", CHUNK_KEY)
