@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tertulia.llm.tokens import count_tokens
-from tertulia.operators.intervals import with_carry
+from tertulia.operators.intervals import CHUNK_KEY, with_carry
 from tertulia.operators.sizes import small_side
 from tertulia.session import checkpointed
 
@@ -73,7 +73,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     sized = checkpointed(_sized(documents, vocabulary))
     plan = small_side(_plan(sized, targets, total_tokens).select("source", "max_repeats", "epochs", "rest"))
     keyed = sized.join(plan, "source").withColumn("_key", _hash_key("doc_id", seed)).withColumn("_chunk", F.shiftright("_key", CHUNK_SHIFT))
-    within = Window.partitionBy("source", "_chunk").orderBy("_key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(CHUNK_KEY).orderBy("_key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     carried = with_carry(keyed, ["source"], "_chunk", {"size": F.sum("n_tokens")}, {"_offset": F.sum("size")})
     before = F.coalesce("_offset", F.lit(0)) + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))
     extra = ((2 * before + F.col("n_tokens") <= 2 * F.col("rest")) & (F.col("epochs") < F.col("max_repeats"))).cast("int")
