@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tertulia.functions.text import lower_ascii
+from tertulia.operators.ordered import renumbered, running
 from tertulia.schema import ACTIVE_JOB, INTERVIEW_STATUS, JOB_STATUS, STEPS
 
 # Limits of keywords.
@@ -32,11 +33,11 @@ def upserted(table: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
     return table.join(changes.select(*key), key, "left_anti").unionByName(changes, allowMissingColumns=True)
 
 
-def appended(table: DataFrame, new: DataFrame, id_col: str = "id") -> DataFrame:
-    """M3: new rows with ids that follow the greatest one."""
-    top = table.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_top"))
-    numbered = new.withColumn("_n", F.row_number().over(Window.orderBy(*new.columns)))
-    with_ids = numbered.crossJoin(F.broadcast(top)).withColumn(id_col, (F.col("_top") + F.col("_n")).cast("int")).drop("_top", "_n")
+def appended(table: DataFrame, new: DataFrame, order: str, id_col: str = "id") -> DataFrame:
+    """M3: new rows with ids that follow the greatest one, in order of an integer column."""
+    top = table.agg(F.max(id_col)).first()[0] or 0
+    numbered = renumbered(new.withColumn("_all", F.lit(0)), "_n", "_all", order)
+    with_ids = numbered.withColumn(id_col, (F.lit(top + 1) + F.col("_n")).cast("int")).drop("_n", "_all")
     return table.unionByName(with_ids, allowMissingColumns=True)
 
 
@@ -171,8 +172,6 @@ def keyword_variety(interviews: DataFrame) -> DataFrame:
 
 def within_token_budget(terms: DataFrame, cost: Column, budget: int = 150) -> DataFrame:
     """Terms (interview_id, pos, term) in order up to the first whose running cost exceeds the budget."""
-    from tertulia.operators.ordered import running
-
     return running(terms, cost, "cost_so_far", F.sum).where(F.col("cost_so_far") <= budget)
 
 
@@ -204,11 +203,11 @@ def process_options(body: Column) -> DataFrame | Column:
 
 def step_views(jobs: DataFrame) -> DataFrame:
     """(interview_id, step, ordinal, state) of each interview's latest running job: done, current or pending by the order of steps."""
-    steps = jobs.sparkSession.createDataFrame(list(enumerate(STEPS)), "ordinal int, step string")
-    now = current_step(jobs).join(F.broadcast(steps.select(F.col("step").alias("current_step"), F.col("ordinal").alias("_now"))), "current_step", "left")
-    at = F.coalesce("_now", F.lit(-1))
-    state = F.when(F.col("ordinal") < at, "done").when(F.col("ordinal") == at, "current").otherwise("pending")
-    return now.crossJoin(F.broadcast(steps)).select("interview_id", "step", "ordinal", state.alias("state"))
+    at = F.coalesce(F.array_position(F.array(*map(F.lit, STEPS)), F.col("current_step")) - 1, F.lit(-1))
+    steps = F.array(*(F.struct(F.lit(k).alias("ordinal"), F.lit(x).alias("step")) for k, x in enumerate(STEPS)))
+    each = current_step(jobs).select("interview_id", at.alias("_now"), F.explode(steps).alias("s")).select("interview_id", "_now", "s.*")
+    state = F.when(F.col("ordinal") < F.col("_now"), "done").when(F.col("ordinal") == F.col("_now"), "current").otherwise("pending")
+    return each.select("interview_id", "step", "ordinal", state.alias("state"))
 
 
 def job_status_order(status: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tertulia.functions.formats import MARKER, match_count
 from tertulia.functions.text import ends_sentence, lines, single_line, trim
 from tertulia.operators.folds import streamed
-from tertulia.operators.ordered import counted, filled, lagged
+from tertulia.operators.ordered import counted, filled, lagged, running
 
 # Lines of a paragraph; limits of edits.
 PARAGRAPH_MIN, PARAGRAPH_MAX = 4, 9
@@ -195,8 +195,6 @@ def active_blocks(blocks: DataFrame, times: DataFrame) -> DataFrame:
     Starts must rise with pos. Times before the first start have no row. Both sides meet along
     one sorted time axis, so no pair of a time and an earlier block is made.
     """
-    from tertulia.operators.ordered import running
-
     groups = effective_starts(blocks).where("start_eff is not null").groupBy("interview_id", "start_eff").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
     marks = groups.select("interview_id", (F.col("start_eff") * 2).alias("_o"), F.struct("start_eff", "first_pos", "last_pos").alias("_g"), F.lit(None).cast("bigint").alias("time_ms"))
     asks = times.select("interview_id", (F.col("time_ms") * 2 + 1).alias("_o"), F.lit(None).cast(marks.schema["_g"].dataType).alias("_g"), F.col("time_ms").cast("bigint").alias("time_ms"))

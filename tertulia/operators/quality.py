@@ -6,7 +6,7 @@ positions from 0 in each interview.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tertulia.functions.text import clock_cs, col, common_substring, folded, has_punctuation, normalized, words
 from tertulia.operators.folds import streamed
@@ -158,8 +158,9 @@ def spliced(segments: DataFrame, ranges: DataFrame, retries: DataFrame) -> DataF
 def with_recovered(segments: DataFrame, recovered: DataFrame) -> DataFrame:
     """Recovered rows put in by start, originals first on ties, then by position; renumbered."""
     rows = segments.withColumn("_source", F.lit(0)).unionByName(recovered.withColumn("_source", F.lit(1)))
-    order = Window.partitionBy("interview_id").orderBy("t0", "_source", "pos")
-    return rows.withColumn("pos", F.row_number().over(order) - 1).drop("_source")
+    order = ((F.col("t0").cast("bigint") * 2 + F.col("_source")) * F.lit(2**24)) + F.col("pos")  # positions below 2**24
+    numbered = renumbered(rows.withColumn("_order", order).drop("pos"), "pos", order="_order", bits=42)
+    return numbered.withColumn("pos", F.col("pos").cast("int")).drop("_source", "_order")
 
 
 def cleaned(segments: DataFrame, prompt: str = STYLE_PROMPT) -> DataFrame:

@@ -127,7 +127,7 @@ def m8(spark, d):
 def m3(spark, d):
     jobs = views.jobs(spark, d)
     new = jobs.where("status = 'failed'").select("interview_id", F.lit("pending").alias("status")).distinct()
-    return catalog.appended(jobs.select("id", "interview_id", "status"), new)
+    return catalog.appended(jobs.select("id", "interview_id", "status"), new, "interview_id")
 
 
 @query("r4_reclaimed", f"""WITH {JOBS_SQL} SELECT id, CASE WHEN status IN ('pending', 'running') THEN 'failed' ELSE status END AS status, CASE WHEN status IN ('pending', 'running') THEN 'interrumpido por reinicio' ELSE error_message END AS error_message,

@@ -8,6 +8,8 @@ from tertulia.functions import formats
 from tertulia.operators import documents, transforms
 from tertulia.plans import views
 from tertulia.plans.views import INTERVIEWS_SQL, TURNS_SQL
+from tertulia.operators.ordered import renumbered
+from tertulia.operators.sizes import small_side
 from tertulia.sources import files
 
 QUERIES, ORACLES = {}, {}
@@ -119,8 +121,6 @@ def w7(spark, d):
 q AS (SELECT DISTINCT interview_id, end_ms AS time_ms FROM turns WHERE end_ms IS NOT NULL), g AS (SELECT interview_id, start_ms, min(pos) AS first_pos, max(pos) AS last_pos FROM b0 GROUP BY 1, 2)
 SELECT q.interview_id, q.time_ms, g.first_pos, g.last_pos FROM q ASOF JOIN g ON q.interview_id = g.interview_id AND q.time_ms >= g.start_ms""")
 def j5(spark, d):
-    from tertulia.operators.ordered import renumbered
-
     t = views.table(spark, d, "turns").select("interview_id", "pos", "start_ms").distinct().where("start_ms is not null")
     order = F.col("start_ms") * F.lit(2**20) + F.col("pos")
     rising = renumbered(t.withColumn("_k", order).drop("pos"), "pos", order="_k", bits=40)
@@ -223,8 +223,6 @@ def _glossary(spark, d):
 
 def _noted(spark, d):
     """Turns as segments with the original of a glossary change set in where its line is, and the proposals."""
-    from tertulia.operators.ordered import renumbered
-
     g = views.table(spark, d, "glossary_changes").where("original is not null and term is not null").groupBy("interview_id", "line").agg(F.min("original").alias("original"), F.min("term").alias("term"))
     dense = renumbered(views.turns(spark, d).withColumnRenamed("pos", "_old"), "pos", order="_old").withColumn("pos", F.col("pos").cast("int"))
     noted = dense.join(g.select("interview_id", (F.col("line") - 1).cast("int").alias("pos"), "original"), ["interview_id", "pos"], "left")
@@ -252,8 +250,6 @@ def l3(spark, d):
 
 
 def _dense(spark, d):
-    from tertulia.operators.ordered import renumbered
-
     t = documents.spoken(views.turns(spark, d)).withColumnRenamed("pos", "_old")
     return renumbered(t, "pos", order="_old").select("interview_id", F.col("pos").cast("int").alias("pos"), "text")
 
@@ -292,7 +288,7 @@ def _entities(spark, d):
     """The reference list's terms that an interview's keywords name, as entities of their domain."""
     terms = views.table(spark, d, "glossary_terms").select("term", F.upper("domain").alias("type"))
     k = views.interviews_with_keywords(spark, d).select(F.col("id").alias("interview_id"), F.posexplode("keywords").alias("pos", "text")).where("trim(text) <> ''")
-    return k.join(F.broadcast(terms), k.text == terms.term).select("interview_id", F.floor(F.col("pos") / 3).cast("int").alias("chunk"), "pos", "text", "type")
+    return k.join(small_side(terms), k.text == terms.term).select("interview_id", F.floor(F.col("pos") / 3).cast("int").alias("chunk"), "pos", "text", "type")
 
 
 _ENTITIES = f"""{INTERVIEWS_SQL}, k AS (SELECT id AS interview_id, generate_subscripts(keywords, 1) - 1 AS pos, unnest(keywords) AS text FROM i),

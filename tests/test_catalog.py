@@ -54,7 +54,7 @@ def test_jobs(spark):
     assert {r.id: r.outcome for r in catalog.admission(i, audio, j, asked).collect()} == {1: "already_queued", 2: "audio_required", 3: "queued", 9: "not_found"}
     assert {r.id for r in catalog.removed(j, i.where("id = 1")).collect()} == {3, 4}
     assert catalog.upserted(i.withColumn("x", F.lit(1)), spark.createDataFrame([(3, 2), (4, 2)], "id int, x int"), ["id"]).count() == 4
-    assert sorted(r.id for r in catalog.appended(i, spark.createDataFrame([("a",), ("b",)], "x string")).collect()) == [1, 2, 3, 4, 5]
+    assert sorted(r.id for r in catalog.appended(i, spark.createDataFrame([(7,), (3,)], "x int"), "x").collect()) == [1, 2, 3, 4, 5]
     assert {r.step: r.state for r in catalog.step_views(j).collect()}["diarizando"] == "current"
     assert catalog.truncated(i).count() == 0
     assert value(spark, "12abc", lambda v: catalog.integer_header(F.col(v))) == 12 and value(spark, "abc", lambda v: catalog.integer_header(F.col(v))) is None
