@@ -57,8 +57,7 @@ def test_mix(spark):
         assert abs(got[s].actual_share - share / 0.9) < 0.005
     assert got["none"].n_docs == 0 and got["none"].actual_share == 0
     # one source gives all it may, to the last document
-    size = lambda s: sum(len(x.text.split()) for x in d.dropDuplicates(["doc_id"]).where(f"source = '{s}' and text <> ''").collect())
-    assert any(got[s].most_repeats == m and got[s].n_draws == m * sum(r.source == s for r in drawn) for s, m in (("a", 1), ("b", 2), ("c", 4))) and size("a") > 0
+    assert any(got[s].most_repeats == m and got[s].n_draws == m * sum(r.source == s for r in drawn) for s, m in (("a", 1), ("b", 2), ("c", 4)))
     assert sorted(map(tuple, drawn)) == sorted(map(tuple, mixing.mix(d.repartition(7), t).collect()))
     less = {r.source: r.n_tokens for r in mixing.shares(mixing.mix(d, t, total_tokens=9000), t).collect()}
     assert abs(sum(less.values()) - 9000) < 150
