@@ -31,6 +31,7 @@ _FUNCTION_WORDS = frozenset(FUNCTION_WORDS.split())
 _OTHER_NUMBER = re.compile(rf"\b(?:{OTHER_NUMBERS})\W*$", re.I)
 _OTHER_NAME = re.compile(rf"\b(?:{OTHER_NAMES})\s+$", re.I)
 _NUMBER = re.compile(rf"\d|\b(?:{NUMBER_WORDS.replace(' ', '|')}|veinti\w+)\b", re.I)
+_AT = re.compile(r"@|arroba|[\[(]at[\])]", re.I)
 _DIGIT = re.compile(r"\d|\b(?:cero|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve)\b", re.I)
 _WORD = re.compile(r"[^\W_]+")
 
@@ -52,7 +53,7 @@ def checked(text: str, a: int, b: int, kind: str) -> tuple[int, int, str] | None
         b += 1
     span = text[a:b]
     if kind == "email":
-        good = "@" in span or "arroba" in span.lower()
+        good = bool(_AT.search(span))
     elif kind in ("phone", "id_number"):
         good = len(_DIGIT.findall(span)) >= 7 and not _OTHER_NUMBER.search(text[max(0, a - 40) : a])
     elif kind == "address":

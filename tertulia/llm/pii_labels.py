@@ -29,7 +29,7 @@ _NUM_WORD = r"(?:cero|un|uno|una|dos|tres|cuatro|cinco|seis|siete|ocho|nueve|die
 _NUM_WORD += r"\b"
 _SPOKEN = rf"{_NUM_WORD}(?:\s+y)?(?:\s+{_NUM_WORD}(?:\s+y)?)*"
 _DIGIT = "(?:cero|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve)"
-EMAIL = re.compile(r"(?<![\w.@-])\w+(?:[.\-_]\w+)*(?:\s(?:punto|guion bajo|guion)\s\w+(?:[.\-_]\w+)*)*(?:\s?@\s?|\s?[(\[]arroba[)\]]\s?|\sarroba\s)\w+(?:(?:\.|-|\spunto\s|\sguion\s)\w+)*(?:\.|\spunto\s)[a-z]{2,}", re.I)
+EMAIL = re.compile(r"(?<![\w.@-])\w+(?:[.\-_]\w+)*(?:\s(?:punto|guion bajo|guion)\s\w+(?:[.\-_]\w+)*)*(?:\s?@\s?|\s?[(\[](?:arroba|at)[)\]]\s?|\sarroba\s)\w+(?:(?:\.|-|\spunto\s|\sguion\s)\w+)*(?:\.|\spunto\s)[a-z]{2,}", re.I)
 SPOKEN_DIGITS = re.compile(rf"\b{_DIGIT}(?:,?\s+{_DIGIT}){{6,}}(?:\s+guion\s+(?:{_DIGIT}|ka))?\b", re.I)
 PHONE = re.compile(r"\+\d{2,3}[\s.\-]?\d{1,3}(?:[\s.\-]?\d{3,4}){2}(?!\d)|\b00\d{2}-\d-\d{8}\b|\(0?\d{1,2}\)\s?\d{3}\s?\d{4}\b|\b555\s\d{2}\s\d{2}\b|\b9-\d{4}-\d{4}\b|\b90\d{7}\b")
 ID = re.compile(r"\b\d{1,2}\.\d{3}\.\d{3}-[\dk]\b|\b\d{7,8}-[\dk]\b|\b\d{8}k\b|\b\d{1,2}\s\d{3}\s\d{3}\sguion\s(?:\d|k|ka)\b|\b0-\d{4}-\d{4}\b|\b[A-Z]-\d{7}\b|\b4\d{8}\b", re.I)
@@ -177,7 +177,7 @@ class Inventor:
         domain = [r.choice(["buzon9", "mailsur", "casa", "vecinal", "postalia", "redcuidados", self.word(), "correo-norte", "sede-sur", "equipo.estudio"]), r.choice("example test invalid interno intranet com cl org".split())]
         if spoken:
             return f"{local} arroba {' punto '.join(domain).replace('.', ' punto ').replace('-', ' guion ')}"
-        return f"{local}{r.choice(['@', '@', '@', ' @ ', ' (arroba) ', '[arroba]', ' arroba '])}{'.'.join(domain)}"
+        return f"{local}{r.choice(['@', '@', '@', ' @ ', ' (arroba) ', '[arroba]', ' arroba ', ' [at] ', ' [at] ', '[at]', ' (at) '])}{'.'.join(domain)}"
 
     def _say(self, digits: str) -> str:
         return self.r.choice([" ", ", "]).join(DIGIT_WORDS[int(d)] for d in digits)

@@ -1,4 +1,4 @@
-"""python -m tertulia.llm.pii_training DATA_DIR: fits the weights of pii_model on labelled spans and writes pii_weights.npz.
+"""python -m tertulia.llm.pii_training DATA_DIR [SECONDS [more]]: fits the weights of pii_model on labelled spans and writes pii_weights.npz; with "more" it goes on from those that are there.
 
 Bounds: MAX_TEXTS distinct turn texts (those with the least hash) of at most MAX_LENGTH
 characters, labelled by the rules of pii_labels; to half of each batch invented spans are added.
@@ -13,8 +13,8 @@ import time
 import numpy as np
 import pandas as pd
 
-from tertulia.llm.pii_labels import Inventor, Labeller
-from tertulia.llm.pii_model import LABELS, Adam, codes, fresh, gradients, save, Tagger
+from tertulia.llm.pii_labels import Inventor, Labeller, streets
+from tertulia.llm.pii_model import LABELS, WEIGHTS, Adam, Tagger, codes, fresh, gradients, load, save
 
 MAX_TEXTS, MAX_LENGTH = 60_000, 400
 HIDDEN, BATCH, SIZE = 24, 96, 160
@@ -45,18 +45,17 @@ def batches(texts: list[str], labeller: Labeller, inventor: Inventor, seed: int)
         yield x, y, lengths
 
 
-def fit(texts: list[str], places: list[str], seconds: float, hidden: int = HIDDEN, seed: int = 1, log=print) -> dict[str, np.ndarray]:
-    """Weights fitted for so many seconds with a falling rate."""
+def fit(texts: list[str], places: list[str], seconds: float, hidden: int = HIDDEN, seed: int = 1, start: dict[str, np.ndarray] | None = None, log=print) -> dict[str, np.ndarray]:
+    """Weights fitted for so many seconds with a falling rate, a third of it if they go on from start."""
     texts = sorted((t for t in set(texts) if t.strip() and len(t) <= MAX_LENGTH), key=lambda t: hashlib.md5(t.encode()).digest())[:MAX_TEXTS]
     labeller = Labeller(texts, places)
-    from tertulia.llm.pii_labels import streets
-
     held, feed = texts[::20], batches([t for k, t in enumerate(texts) if k % 20], labeller, Inventor(seed, streets(texts)), seed)
-    p, began, step = fresh(hidden, seed), time.time(), 0
+    p, began, step = start or fresh(hidden, seed), time.time(), 0
+    rate = 2e-3 if start else 6e-3
     adam = Adam(p)
     while (done := (time.time() - began) / seconds) < 1:
         loss, g = gradients(p, *next(feed))
-        adam.step(p, g, 6e-3 * min(1, (step + 1) / 50) * (1 - done) ** 0.8 + 1e-5)
+        adam.step(p, g, rate * min(1, (step + 1) / 50) * (1 - done) ** 0.8 + 1e-5)
         step += 1
         if step % 100 == 0:
             log(f"{time.time() - began:.0f} s, step {step}, loss {loss:.3f}", flush=True)
@@ -80,11 +79,12 @@ def evaluate(p: dict[str, np.ndarray], texts: list[str], labeller: Labeller) ->
     return ", ".join(f"{k}: precision {n / max(1, a):.3f} recall {n / max(1, b):.3f} of {b}" for k, (n, a, b) in counts.items())
 
 
-def main(folder: str, seconds: float = 900) -> None:
+def main(folder: str, seconds: str = "900", more: str = "") -> None:
     turns = pd.read_parquet(f"{folder}/turns.parquet", columns=["text"]).text.dropna().tolist()
     terms = pd.read_parquet(f"{folder}/glossary_terms.parquet").term.dropna()
-    save(fit(turns, [t for t in terms if " " in t], seconds))
+    start = load(WEIGHTS.read_bytes()) if more else None
+    save(fit(turns, [t for t in terms if " " in t], float(seconds), seed=2 if more else 1, start=start))
 
 
 if __name__ == "__main__":
-    main(sys.argv[1], *map(float, sys.argv[2:]))
+    main(*sys.argv[1:])
