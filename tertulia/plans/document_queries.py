@@ -112,6 +112,30 @@ def j7(spark, d):
     return documents.overlaid(documents.saved_edits(_edits(spark, d)).select(*keep), views.turns(spark, d).select(*keep))
 
 
+def _all_edits(spark, d):
+    """Edited blocks of every interview, with faults planted by position and length of the text."""
+    t, size = views.turns(spark, d), F.char_length("text")
+    who = F.when((F.col("pos") == 4) & (size % 5 == 0), "nadie").otherwise(F.coalesce("speaker", F.lit("")))
+    said = F.when((F.col("pos") == 6) & (size % 7 == 0), F.concat("text", F.lit("x\x07"))).otherwise(F.col("text"))
+    return t.select("interview_id", "pos", who.alias("speaker"), (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), said.alias("text"))
+
+
+_ALL_EDITS = f"""{TURNS_SQL}, e AS (SELECT interview_id, pos, CASE WHEN pos = 4 AND length(text) % 5 = 0 THEN 'nadie' ELSE coalesce(speaker, '') END AS speaker, start_ms, end_ms, CASE WHEN pos = 6 AND length(text) % 7 = 0 THEN text || 'x' || chr(7) ELSE text END AS text FROM t),
+f AS (SELECT *, CASE WHEN text = '' THEN NULL WHEN strlen(text) > {documents.EDIT_BYTES} THEN 'too_long' WHEN contains(text, chr(7)) THEN 'control_char' WHEN speaker = 'nadie' THEN 'unknown_speaker' WHEN start_ms < 0 OR end_ms < 0 OR start_ms > end_ms THEN 'bad_times' END AS fault FROM e),
+g AS (SELECT interview_id, count(*) AS n, arg_min(pos, pos) FILTER (fault IS NOT NULL) AS pos, arg_min(fault, pos) FILTER (fault IS NOT NULL) AS fault, count(*) FILTER (text <> '') AS said FROM f GROUP BY 1),
+x AS (SELECT interview_id, CASE WHEN n <= {documents.EDIT_BLOCKS} THEN pos END AS pos, CASE WHEN n > {documents.EDIT_BLOCKS} THEN 'too_many' WHEN fault IS NOT NULL THEN fault WHEN said = 0 THEN 'empty' END AS fault FROM g)"""
+
+
+@query("p5_edit_faults_all", f"WITH {_ALL_EDITS} SELECT interview_id, pos, fault FROM x WHERE fault IS NOT NULL")
+def p5_all(spark, d):
+    return documents.edit_faults(_all_edits(spark, d))
+
+
+@query("p5_saved_edits_all", f"WITH {_ALL_EDITS} SELECT interview_id, pos, start_ms, end_ms, CASE WHEN speaker <> '' THEN speaker END AS speaker, text FROM e WHERE text <> '' AND interview_id NOT IN (SELECT interview_id FROM x WHERE fault IS NOT NULL)")
+def p5_saved_all(spark, d):
+    return documents.saved_edits(_all_edits(spark, d))
+
+
 @query("w7_effective_start", f"WITH {TURNS_SQL} SELECT interview_id, pos, last_value(start_ms IGNORE NULLS) OVER (PARTITION BY interview_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS start_eff FROM t")
 def w7(spark, d):
     return documents.effective_starts(views.turns(spark, d)).select("interview_id", "pos", "start_eff")

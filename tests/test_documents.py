@@ -1,6 +1,8 @@
+import duckdb
 from pyspark.sql import functions as F
 
 from tertulia.operators import documents, transforms
+from tertulia.plans import document_queries
 
 TURNS = "interview_id int, pos int, start_ms bigint, end_ms bigint, speaker string, text string"
 EDITS = "interview_id int, pos int, speaker string, start double, end double, text string"
@@ -49,6 +51,17 @@ def test_edits(spark):
     assert documents.swapped(documents.swapped(t)).exceptAll(t).count() == 0
 
 
+def test_edits_of_every_interview(spark, tmp_path):
+    c = duckdb.connect()
+    c.execute("CREATE TABLE turns AS SELECT 1 AS interview_id, CAST(k AS INT) AS pos, k * 10 AS start_ms, k * 10 + 5 AS end_ms, 'subject' AS speaker, 'abc' AS text FROM range(20001) r(k)")
+    c.execute("INSERT INTO turns SELECT i, k, k * 10, k * 10 + 5, 'subject', CASE WHEN i = 2 AND k = 4 THEN 'abcde' WHEN i = 3 AND k = 6 THEN 'abcdefg' ELSE 'abc' END FROM range(2, 5) a(i), range(8) r(k)")
+    c.execute(f"COPY turns TO '{tmp_path}/turns.parquet'")
+    expected = {"p5_edit_faults_all": {(1, None, "too_many"), (2, 4, "unknown_speaker"), (3, 6, "control_char")}, "p5_saved_edits_all": {(4, k, k * 10, k * 10 + 5, "subject", "abc") for k in range(8)}}
+    for name, rows in expected.items():
+        assert set(map(tuple, document_queries.QUERIES[name](spark, str(tmp_path)).collect())) == rows
+        assert set(c.execute(document_queries.ORACLES[name]).fetchall()) == rows
+
+
 def test_edit_log(spark):
     b = spark.createDataFrame([(1, 0, 0, 9, "subject", "uno dos"), (1, 1, 9, 20, "interviewer", "tres"), (1, 2, 20, None, "subject", "x")], TURNS)
     log = spark.createDataFrame([(1, 1, "split", 0, 3), (1, 2, "merge", 2, 0), (1, 3, "remove", 2, 0), (1, 4, "merge", 99, 0)], "interview_id int, seq int, op string, pos int, at int")
