@@ -173,6 +173,12 @@ def f3(spark, d):
 
 
 def _texts(spark, d):
+    """Every document with text, under its doc_id."""
+    return views.table(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("int").alias("interview_id"), "text")
+
+
+def _linked_texts(spark, d):
+    """The documents of interviews only."""
     return views.table(spark, d, "documents").where("text is not null and interview_id is not null").select(F.col("doc_id").cast("int").alias("interview_id"), "text")
 
 
@@ -181,6 +187,14 @@ _LINES = """n AS (SELECT CAST(doc_id AS INT) AS interview_id, unnest(list_filter
 
 @query("a14_label_share", f"WITH {_LINES}, m AS (SELECT interview_id, regexp_matches(line, '^[^:\\[\\]]{{1,40}}:\\s+.+$') AS l FROM n) SELECT interview_id, count(*) AS n_lines, count(*) FILTER (l) AS n_labelled, count(*) FILTER (l) * 2 >= count(*) AS has_speakers FROM m GROUP BY 1")
 def a14(spark, d):
+    return documents.label_share(_linked_texts(spark, d))
+
+
+_ALL_LINES = """n AS (SELECT CAST(doc_id AS INT) AS interview_id, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(10))), lambda x: x <> '')) AS line FROM documents WHERE text IS NOT NULL)"""
+
+
+@query("a14_label_share_all", f"WITH {_ALL_LINES}, m AS (SELECT interview_id, regexp_matches(line, '^[^:\\[\\]]{{1,40}}:\\s+.+$') AS l FROM n) SELECT interview_id, count(*) AS n_lines, count(*) FILTER (l) AS n_labelled, count(*) FILTER (l) * 2 >= count(*) AS has_speakers FROM m GROUP BY 1")
+def a14_all(spark, d):
     return documents.label_share(_texts(spark, d))
 
 

@@ -38,6 +38,16 @@ def test_legacy(spark):
     assert [(r.n_lines, r.text) for r in documents.legacy_paragraphs(t).orderBy("first_pos").collect()] == [(4, "a b. c d."), (1, "e")]
 
 
+def test_texts_of_no_interview(spark, tmp_path):
+    d = spark.createDataFrame([(1, 7, "Ana: uno\nLuis: dos"), (2, None, "Ana: uno\nLuis: dos"), (3, None, "a\nb"), (4, 7, None)], "doc_id bigint, interview_id int, text string")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    ids = lambda name: {r.interview_id for r in document_queries.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert ids("f5_legacy_blocks") == {1, 2} and ids("f4_legacy_paragraphs") == {3} and ids("a14_label_share_all") == {1, 2, 3}
+    assert {r[0] for r in c.execute(document_queries.ORACLES["a14_label_share_all"]).fetchall()} == {1, 2, 3}
+
+
 def test_edits(spark):
     ok = [(1, 0, "", 0.0, 1.0005, " a\tb\n"), (1, 1, "interviewer", None, None, " ")]
     bad = [(2, 0, "nadie", None, None, "x"), (3, 0, None, 2.0, 1.0, "x"), (4, 0, None, -1.0, None, "x"), (5, 0, None, None, None, " "), (6, 3, None, None, None, "a\x01"), (7, 0, None, None, None, "ñ" * 10_001)]
