@@ -146,7 +146,7 @@ def retry_accepted(n: Column, punctuated: Column, retry_words: Column, old_words
 
 
 def spliced(segments: DataFrame, ranges: DataFrame, retries: DataFrame) -> DataFrame:
-    """M2 and Q7: rows of each range (interview_id, run_id, first_pos, last_pos) replaced by the retry rows of its run_id, renumbered."""
+    """M2: rows of each range (interview_id, run_id, first_pos, last_pos) replaced by the retry rows of its run_id, renumbered."""
     covered = ranges.select("interview_id", F.explode(F.sequence("first_pos", "last_pos")).alias("pos"))
     keep = segments.join(covered, ["interview_id", "pos"], "left_anti").select("interview_id", F.struct(F.col("pos").cast("bigint").alias("p"), F.lit(-1).cast("bigint").alias("q")).alias("_k"), "t0", "t1", "text")
     new = retries.join(ranges.select("interview_id", "run_id", "first_pos"), ["interview_id", "run_id"])
@@ -155,8 +155,43 @@ def spliced(segments: DataFrame, ranges: DataFrame, retries: DataFrame) -> DataF
     return renumbered(both, "pos", order="_order", bits=36).select("interview_id", F.col("pos").cast("int").alias("pos"), "t0", "t1", "text")
 
 
+def judged_retries(retries: DataFrame, prompt: str = STYLE_PROMPT) -> DataFrame:
+    """Retry rows (interview_id, run_id, pos, t0, t1, text) less those with a drop reason (Q5), and has_loop, whether what is left of their run has a loop (F1).
+
+    Each run is judged alone: blank rows, which are like no other row, stand between the runs.
+    """
+    rows = retries.select("interview_id", "run_id", F.col("pos").cast("bigint").alias("_at"), "t0", "t1", "text")
+    blank = [F.lit(k - NEIGHBOURS).cast("bigint") for k in range(NEIGHBOURS)]
+    between = rows.select("interview_id", "run_id").distinct().select("*", F.explode(F.array(*blank)).alias("_at"))
+    apart = rows.unionByName(between.withColumn("text", F.lit("")), allowMissingColumns=True)
+    order = F.col("run_id").cast("bigint") * F.lit(2**24) + F.col("_at") + NEIGHBOURS  # positions and run_id below 2**24
+    dense = checkpointed(renumbered(apart.withColumn("_order", order), "pos", order="_order", bits=36).drop("_order"))
+    kept = checkpointed(with_drop_reason(dense, prompt).where("reason is null").drop("reason"))
+    starts = repeat_runs(kept).select("interview_id", F.col("first_pos").alias("pos"))
+    loops = kept.join(starts, ["interview_id", "pos"]).select("interview_id", "run_id", F.lit(True).alias("has_loop")).distinct()
+    judged = kept.where("_at >= 0").join(loops, ["interview_id", "run_id"], "left")
+    return judged.select("interview_id", "run_id", F.col("_at").alias("pos"), "t0", "t1", "text", F.coalesce("has_loop", F.lit(False)).alias("has_loop"))
+
+
+def repaired(segments: DataFrame, ranges: DataFrame, retries: DataFrame, prompt: str = STYLE_PROMPT) -> DataFrame:
+    """Q7: rows of each range (interview_id, run_id, first_pos, last_pos) replaced by what is kept of its retry, if that is accepted (A9); else the originals stay."""
+    judged = checkpointed(judged_retries(retries, prompt))
+    n_words = F.sum(F.size(words("text")))
+    new = judged.groupBy("interview_id", "run_id").agg(F.count("*").alias("_n"), F.count_if(has_punctuation("text")).alias("_p"), n_words.alias("_new"), F.bool_or("has_loop").alias("_loop"))
+    covered = ranges.select("interview_id", "run_id", F.explode(F.sequence("first_pos", "last_pos")).alias("pos"))
+    old = segments.join(covered, ["interview_id", "pos"]).groupBy("interview_id", "run_id").agg(n_words.alias("_old"))
+    both = ranges.join(new, ["interview_id", "run_id"]).join(old, ["interview_id", "run_id"])
+    accepted = both.where(retry_accepted(*map(F.col, ("_n", "_p", "_new", "_old", "_loop")))).select("interview_id", "run_id", "first_pos", "last_pos")
+    return spliced(segments, checkpointed(accepted), judged.drop("has_loop"))
+
+
+def accepted_recovered(recovered: DataFrame, prompt: str = STYLE_PROMPT) -> DataFrame:
+    """Q8: recovered rows (interview_id, run_id, pos, t0, t1, text; a run_id for each gap) less those with a drop reason and those of gaps with a loop."""
+    return judged_retries(recovered, prompt).where("not has_loop").drop("has_loop", "run_id")
+
+
 def with_recovered(segments: DataFrame, recovered: DataFrame) -> DataFrame:
-    """Recovered rows put in by start, originals first on ties, then by position; renumbered."""
+    """Recovered rows put in by start, originals first on ties, then by position; renumbered."""
     rows = segments.withColumn("_source", F.lit(0)).unionByName(recovered.withColumn("_source", F.lit(1)))
     order = ((F.col("t0").cast("bigint") * 2 + F.col("_source")) * F.lit(2**24)) + F.col("pos")  # positions below 2**24
     numbered = renumbered(rows.withColumn("_order", order).drop("pos"), "pos", order="_order", bits=42)

@@ -8,6 +8,7 @@ from tertulia.functions import formats, text
 from tertulia.operators import quality, speakers
 from tertulia.plans import views
 from tertulia.plans.views import SEGMENTS_SQL, TURNS_SQL, VOICES_SQL
+from tertulia.session import checkpointed
 
 QUERIES, ORACLES = {}, {}
 
@@ -169,18 +170,19 @@ def f2(spark, d):
 
 @query("q7_unpunctuated_retry")
 def q7(spark, d):
-    """Each unpunctuated stretch replaced by a retry with a full stop behind each row."""
-    s = views.segments(spark, d)
-    ranges = quality.unpunctuated_runs(s).withColumn("run_id", F.col("first_pos"))
+    """Each unpunctuated stretch with a retry that has a full stop behind each row, taken where it is accepted."""
+    s = checkpointed(views.segments(spark, d))
+    ranges = checkpointed(quality.unpunctuated_runs(s).withColumn("run_id", F.col("first_pos")))
     retry = s.join(ranges.select("interview_id", "run_id", "first_pos", "last_pos"), "interview_id").where("pos between first_pos and last_pos")
-    return quality.spliced(s, ranges, retry.select("interview_id", "run_id", "pos", "t0", "t1", F.concat("text", F.lit(".")).alias("text")))
+    return quality.repaired(s, ranges, retry.select("interview_id", "run_id", "pos", "t0", "t1", F.concat("text", F.lit(".")).alias("text")))
 
 
 @query("m1_q8_recovered", f"""WITH {SEGMENTS_SQL}, n AS (SELECT interview_id, pos, t0 + 1 AS t0, t1, 'recuperado' AS text, 1 AS src FROM s WHERE pos % 10 = 4), u AS (SELECT *, 0 AS src FROM s UNION ALL SELECT * FROM n)
 SELECT interview_id, row_number() OVER (PARTITION BY interview_id ORDER BY t0, src, pos) - 1 AS pos, t0, t1, text FROM u""")
 def m1(spark, d):
-    s = views.segments(spark, d)
-    return quality.with_recovered(s, s.where("pos % 10 = 4").withColumn("t0", F.col("t0") + 1).withColumn("text", F.lit("recuperado")))
+    s = checkpointed(views.segments(spark, d))
+    recovered = s.where("pos % 10 = 4").withColumn("run_id", F.col("pos")).withColumn("t0", F.col("t0") + 1).withColumn("text", F.lit("recuperado"))
+    return quality.with_recovered(s, quality.accepted_recovered(recovered))
 
 
 @query("q9_cleaned")

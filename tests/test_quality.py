@@ -89,3 +89,30 @@ def test_gaps_and_unpunctuated(spark):
 def test_retry(spark, n, p, words, loop, ok):
     d = spark.range(1).select(quality.retry_accepted(F.lit(n), F.lit(p), F.lit(words), F.lit(100), F.lit(loop)))
     assert d.first()[0] == ok
+
+
+RETRY = "interview_id int, run_id int, pos int, t0 bigint, t1 bigint, text string"
+LONG = "así fue la cosa entonces."
+
+
+def retries(spark, texts):
+    """texts: run_id to the texts of its rows."""
+    return spark.createDataFrame([(1, run, k, run * 1000 + k * 300, run * 1000 + k * 300 + 299, t) for run, x in texts.items() for k, t in enumerate(x)], RETRY)
+
+
+def test_retries_that_are_no_better_are_not_taken(spark):
+    s = frame(spark, [f"{a} uno dos tres" for a in "abcdefghijklmn"])
+    ranges = spark.createDataFrame([(1, p, p, p + 1) for p in (0, 2, 4, 6, 8, 10, 12)], "interview_id int, run_id int, first_pos int, last_pos int")
+    tried = {
+        0: ["A uno dos.", "B dos tres."], 2: [LONG] * 3, 4: ["corto."], 6: ["sin punto alguno aquí", "ni aquí tampoco hay uno", "uno dos."],
+        8: ["Subtítulos por la comunidad."], 10: ["Gracias por ver", "uno dos tres.", "cuatro cinco seis."],
+    }
+    got = [r.text for r in quality.repaired(s, ranges, retries(spark, tried)).orderBy("pos").collect()]
+    old = [r.text for r in s.orderBy("pos").collect()]
+    assert got == ["A uno dos.", "B dos tres.", *old[2:10], "uno dos tres.", "cuatro cinco seis.", *old[12:]]
+
+
+def test_recovered_gaps_are_judged_alone(spark):
+    tried = {1: [LONG] * 2, 2: [LONG] * 2, 3: [LONG] * 3, 4: ["Subtítulos por la comunidad", "sí"]}
+    got = sorted((r.t0, r.text) for r in quality.accepted_recovered(retries(spark, tried)).collect())
+    assert got == [(1000, LONG), (1300, LONG), (2000, LONG), (2300, LONG), (4300, "sí")]
