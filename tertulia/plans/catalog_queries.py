@@ -190,7 +190,7 @@ def p9(spark, d):
     return views.jobs(spark, d).select("id", catalog.integer_header(v).alias("header"))
 
 
-@query("p7_body_defaults", f"WITH {JOBS_SQL} SELECT id, status = 'completed' AS include_summary, false AS enhance FROM j")
+@query("pred7_body_defaults", f"WITH {JOBS_SQL} SELECT id, status = 'completed' AS include_summary, false AS enhance FROM j")
 def p7(spark, d):
     body = F.concat(F.lit('{"includeSummary": '), (F.col("status") == "completed").cast("string"), F.lit(', "enhanceTranscript": "yes"}'))
     return views.jobs(spark, d).select("id", catalog.process_options(body).alias("o")).select("id", "o.*")

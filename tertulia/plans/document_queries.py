@@ -77,7 +77,7 @@ def p17(spark, d):
     return documents.changed(documents.swapped(t), t)
 
 
-@query("p6_to_ms", f"WITH {TURNS_SQL} SELECT interview_id, pos, start_ms AS ms FROM t")
+@query("pred6_to_ms", f"WITH {TURNS_SQL} SELECT interview_id, pos, start_ms AS ms FROM t")
 def p6(spark, d):
     return views.turns(spark, d).withColumn("s", F.col("start_ms") / 1000).select("interview_id", "pos", documents.to_ms("s").alias("ms"))
 
