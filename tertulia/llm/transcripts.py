@@ -16,8 +16,6 @@ from tertulia.operators.intervals import CHUNK_BITS, CHUNK_KEY, chunk_of, with_c
 POS_BITS = 12
 #: Words that the end of one row and the start of the next must share to count as a repeated caption.
 OVERLAP_WORDS = 3
-#: Words of a row's end that are compared with the next row's start.
-OVERLAP_REACH = 200
 
 _CLOCK = r"(\d{1,3}(?::\d{2}){1,2})(?:[.,](\d{1,3}))?"
 _ARROW = r"(?:\s*(?:-->|-|–)(?=\s|$))?"
@@ -176,10 +174,19 @@ def without_overlap(before: str | None, text: str) -> str:
         return text
     flat = lambda w: "".join(c for c in w.lower() if c.isalnum())
     words = text.split()
-    old, new = [flat(w) for w in before.split()[-OVERLAP_REACH:]], [flat(w) for w in words[:OVERLAP_REACH]]
-    for n in range(min(len(old), len(new)), OVERLAP_WORDS - 1, -1):
-        if old[-n:] == new[:n]:
-            return " ".join(words[n:])
+    new = [flat(w) for w in words]
+    fall, n = [0] * len(new), 0  # of each prefix of new, the longest shorter one that it ends with
+    for k in range(1, len(new)):
+        while n and new[k] != new[n]:
+            n = fall[n - 1]
+        n = fall[k] = n + (new[k] == new[n])
+    n = 0
+    for w in map(flat, before.split()):
+        while n and (n == len(new) or w != new[n]):
+            n = fall[n - 1]
+        n += bool(new) and w == new[n]
+    if n >= OVERLAP_WORDS:
+        return " ".join(words[n:])
     return text
 
 

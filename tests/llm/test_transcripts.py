@@ -59,6 +59,16 @@ def test_rolling_captions():
     assert without_overlap(None, "x") == "x"
 
 
+def test_long_captions():
+    long = [f"w{k}" for k in range(301)]
+    assert without_overlap(" ".join(["x", *long]), " ".join([*long, "fin"])) == "fin"
+    rng = random.Random(5)
+    for _ in range(3000):
+        old, new = ([rng.choice("ab") for _ in range(rng.randint(0, 9))] for _ in range(2))
+        n = max((k for k in range(3, min(len(old), len(new)) + 1) if old[-k:] == new[:k]), default=0)
+        assert without_overlap(" ".join(old), " ".join(new)) == " ".join(new[n:])
+
+
 def test_edges(spark):
     i = spark.createDataFrame([(1, "Docente rural"), (1, "DOCENTE"), (2, None)], INTERVIEWS)
     rows = [(1, 0, 5, 9, "Docente", "uno dos tres", "c", 1), (1, 1, 9, None, None, "uno dos tres cuatro", "c", 2), (1, 2, None, None, "Preg.", "¿y?", "c", 3), (None, 1, 1, 1, "subject", "a", "c", 4), (2, None, 1, 1, "subject", "a", "c", 5)]
