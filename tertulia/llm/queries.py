@@ -56,6 +56,12 @@ def p4_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.clean_turns(table(spark, sf_dir, "import_turns"), table(spark, sf_dir, "interviews"))
 
 
+def p4_paused_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turn starts where turns also end at pauses beyond the calibrated one."""
+    rows, interviews = table(spark, sf_dir, "import_turns"), table(spark, sf_dir, "interviews")
+    return transcripts.turn_starts(rows, interviews, transcripts.calibrated_pause(rows, interviews).first().pause_ms)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -76,5 +82,5 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.restored(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_turns": p3_turns, "p1_found": p1_found, "p1_unmatched": p1_unmatched, "p1_matches": p1_matches, "p8_found": p8_found, "p8_restored": p8_restored, "p4_found": p4_found, "p4_turns": p4_turns, "p2_found": p2_found, "p2_events": p2_events, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+QUERIES = {"p3_found": p3_found, "p3_turns": p3_turns, "p1_found": p1_found, "p1_unmatched": p1_unmatched, "p1_matches": p1_matches, "p8_found": p8_found, "p8_restored": p8_restored, "p4_found": p4_found, "p4_turns": p4_turns, "p4_paused_turns": p4_paused_turns, "p2_found": p2_found, "p2_events": p2_events, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
 ORACLES: dict[str, str] = {}

@@ -146,7 +146,7 @@ def ordered_rows(rows: DataFrame, interviews: DataFrame, pause_ms: int | None =
     opens = (first & F.col("_rows").isNull()) | ~F.col("role").eqNullSafe(before("role", "_role"))
     if pause_ms is not None:
         opens = opens | F.coalesce(F.col("at") - before("at", "_at") > pause_ms, F.lit(False))
-    flagged = filled.withColumn("_prev", before("text", "_text")).withColumn("_opens", opens.cast("bigint")).drop("_role", "_at", "_text", "_rows")
+    flagged = filled.withColumn("_gap", F.col("at") - before("at", "_at")).withColumn("_prev", before("text", "_text")).withColumn("_opens", opens.cast("bigint")).drop("_role", "_at", "_text", "_rows")
     counted = with_carry(flagged, e, "chunk", {"n": F.sum("_opens")}, {"_offset": F.sum("n")})
     turn = F.coalesce("_offset", F.lit(0)) + F.sum("_opens").over(upto)
     return counted.withColumn("turn", turn).drop("_offset", CHUNK_KEY)
@@ -215,12 +215,10 @@ def clean_turns(rows: DataFrame, interviews: DataFrame, pause_ms: int | None = N
 _KEPT = ["interview_id", "turn", "at", "anchor", "pos", "end_ms", "role", "text"]
 
 
-def calibrated_pause(rows: DataFrame, interviews: DataFrame, quantile: float = 0.99, least_ms: int = 3_000) -> DataFrame:
+def calibrated_pause(rows: DataFrame, interviews: DataFrame, quantile: float = 0.99, least_ms: int = 3_000, **bits: int) -> DataFrame:
     """(pause_ms): the quantile of the times between successive rows of one turn, at least least_ms; null without any.
 
     For turn_starts() and clean_turns(), where turns shall also end at long silences.
     """
-    swept = ordered_rows(rows, interviews)
-    order = Window.partitionBy("interview_id", "turn", "chunk").orderBy("at", "anchor", "pos")
-    gaps = swept.select((F.col("at") - F.lag("at").over(order)).alias("gap")).where("gap is not null")
+    gaps = ordered_rows(rows, interviews, **bits).where("_opens = 0 and _gap is not null").select(F.col("_gap").alias("gap"))
     return gaps.agg(F.greatest(F.percentile_approx("gap", quantile), F.lit(least_ms)).alias("pause_ms"))

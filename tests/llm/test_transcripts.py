@@ -1,7 +1,7 @@
 import random
 
 from tertulia.llm.roles import RoleReader
-from tertulia.llm.transcripts import clean_turns, read_row, turn_starts, without_overlap
+from tertulia.llm.transcripts import calibrated_pause, clean_turns, read_row, turn_starts, without_overlap
 
 ROWS = "interview_id int, pos int, start_ms bigint, end_ms bigint, speaker string, text string"
 INTERVIEWS = "id int, interview_subject_type string"
@@ -69,6 +69,14 @@ def test_long_captions():
         assert without_overlap(" ".join(old), " ".join(new)) == " ".join(new[n:])
 
 
+def test_pause_across_chunks(spark):
+    rows = [(1, 0, 0, None, "subject", "a"), (1, 1, 1_000, None, None, "b"), (1, 2, 5_001_000, None, None, "c"), (1, 3, 9_000_000, None, "interviewer", "d")]
+    d, i = spark.createDataFrame(rows, ROWS), spark.createDataFrame([(1, None)], INTERVIEWS)
+    for bits in ({}, {"bits": 0, "time_bits": 0}):
+        assert calibrated_pause(d, i, 1.0, **bits).first().pause_ms == 5_000_000
+    assert turn_starts(d, i, 4_000_000).count() == 3
+
+
 def test_edges(spark):
     i = spark.createDataFrame([(1, "Docente rural"), (1, "DOCENTE"), (2, None)], INTERVIEWS)
     rows = [(1, 0, 5, 9, "Docente", "uno dos tres", "c", 1), (1, 1, 9, None, None, "uno dos tres cuatro", "c", 2), (1, 2, None, None, "Preg.", "¿y?", "c", 3), (None, 1, 1, 1, "subject", "a", "c", 4), (2, None, 1, 1, "subject", "a", "c", 5)]
