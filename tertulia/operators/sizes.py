@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-#: Rows up to which a reference table is sent to every executor.
-BROADCAST_ROWS = 100_000
+#: Rows and bytes up to which a reference table is sent to every executor.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 * 1024**2
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if it has been counted to have at most max_rows rows.
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcast if it has been measured to have at most max_rows rows and max_bytes bytes (as JSON).
 
     A larger df comes back unmarked, so a join with it shuffles (and adaptive execution
-    splits skewed keys). The count stops at max_rows + 1.
+    splits skewed keys). At most max_rows + 1 rows are measured.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
+    rows, size = df.limit(max_rows + 1).agg(F.count("*"), size).first()
+    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df

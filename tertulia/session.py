@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ def local_session(name: str = "tertulia", cores: int = 8) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -29,12 +31,18 @@ def local_session(name: str = "tertulia", cores: int = 8) -> SparkSession:
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is
-    unset (a local test session) a temporary folder is set.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Where that is unset, a
+    session with a local master gets a temporary folder that goes with the process; any other
+    raises RuntimeError, as executors would write to disks of their own.
     """
     spark = df.sparkSession
     context = spark.sparkContext
-    named = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "tertulia-checkpoints"))
+        named = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY)
+        if not named:
+            if not (context.master == "local" or context.master.startswith("local[")):
+                raise RuntimeError(f"{CHECKPOINT_KEY} is unset: it must name a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="tertulia-checkpoints-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
     return df.checkpoint(eager=True)
