@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tertulia.llm import mixing, mojibake, pii, runs, tokens, transcripts, vocabulary
+from tertulia.llm import mixing, mojibake, pii, roles, runs, tokens, transcripts, vocabulary
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,4 +83,20 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_turns": p3_turns, "p1_found": p1_found, "p1_unmatched": p1_unmatched, "p1_matches": p1_matches, "p8_found": p8_found, "p8_restored": p8_restored, "p4_found": p4_found, "p4_turns": p4_turns, "p4_paused_turns": p4_paused_turns, "p2_found": p2_found, "p2_events": p2_events, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
-ORACLES: dict[str, str] = {}
+_ACCENTED, _PLAIN = roles.ACCENTED, roles.PLAIN
+_LIST = lambda labels: ", ".join(f"'{x}'" for x in labels)
+#: Each turn of the interviews one after the other: a recursive query with one step for each row.
+_RUNS_SQL = rf"""WITH RECURSIVE f AS (SELECT interview_id, pos, start_ms, end_ms, trim(regexp_replace(translate(lower(coalesce(speaker, '')), '{_ACCENTED}', '{_PLAIN}'), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS plain FROM turns WHERE regexp_matches(text, '[^\s\x{{a0}}]')),
+l AS (SELECT *, CASE WHEN regexp_replace(plain, ' \d+$', '') IN ({_LIST(roles.INTERVIEWER_LABELS)}) THEN 'interviewer' WHEN regexp_replace(plain, ' \d+$', '') IN ({_LIST(roles.SUBJECT_LABELS)}) THEN 'subject' ELSE plain END AS label FROM f),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY interview_id, pos ORDER BY start_ms NULLS FIRST, end_ms NULLS FIRST, label) AS nth FROM l) WHERE nth = 1),
+s AS (SELECT DISTINCT id, trim(regexp_replace(translate(lower(interview_subject_type), '{_ACCENTED}', '{_PLAIN}'), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS type FROM interviews),
+n AS (SELECT o.interview_id, pos, start_ms, end_ms, CASE WHEN s.id IS NOT NULL THEN 'subject' ELSE label END AS who, row_number() OVER (PARTITION BY o.interview_id ORDER BY pos) AS k FROM o LEFT JOIN s ON s.id = o.interview_id AND s.type = o.label AND s.type <> ''),
+r AS (SELECT interview_id, k, pos, who, start_ms, end_ms, end_ms AS reach, pos AS first_pos FROM n WHERE k = 1
+UNION ALL SELECT n.interview_id, n.k, n.pos, n.who, n.start_ms, n.end_ms,
+CASE WHEN n.who <> r.who OR coalesce(n.start_ms > r.reach + {runs.MAX_PAUSE_MS}, false) THEN n.end_ms ELSE greatest(r.reach, n.end_ms) END,
+CASE WHEN n.who <> r.who OR coalesce(n.start_ms > r.reach + {runs.MAX_PAUSE_MS}, false) THEN n.pos ELSE r.first_pos END FROM r JOIN n ON n.interview_id = r.interview_id AND n.k = r.k + 1)"""
+ORACLES: dict[str, str] = {
+    "p2_found": _RUNS_SQL + " SELECT interview_id, first_pos, max(pos) AS last_pos FROM r GROUP BY 1, 2 HAVING count(*) >= 2",
+    "p2_events": _RUNS_SQL + """ SELECT interview_id, first_pos, max(pos) AS last_pos, count(*) AS n_turns, min(who) AS speaker, min(start_ms) AS start_ms, max(end_ms) AS end_ms,
+CASE WHEN min(start_ms) IS NOT NULL AND max(end_ms) IS NOT NULL THEN greatest(max(end_ms) - min(start_ms), 0) END AS duration_ms FROM r GROUP BY 1, 2""",
+}

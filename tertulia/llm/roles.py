@@ -12,7 +12,7 @@ INTERVIEWER, SUBJECT = "interviewer", "subject"
 INTERVIEWER_LABELS = ["interviewer", "investigador", "investigadora", "entrevistador", "entrevistadora", "moderador", "moderadora", "pregunta", "preg", "inv", "p"]
 SUBJECT_LABELS = ["subject", "sujeto", "entrevistado", "entrevistada", "participante", "respuesta", "respondent", "informante", "resp", "part", "suj", "r"]
 
-_ACCENTED, _PLAIN = "áàâãäéèêëíìîïóòôõöúùûüñç", "aaaaaeeeeiiiiooooouuuunc"
+ACCENTED, PLAIN = "áàâãäéèêëíìîïóòôõöúùûüñç", "aaaaaeeeeiiiiooooouuuunc"
 
 
 def fold(text: str) -> str:
@@ -24,7 +24,7 @@ def fold(text: str) -> str:
 def folded(label: str | Column) -> Column:
     """fold() as a Spark expression; '' for null and blank."""
     c = F.col(label) if isinstance(label, str) else label
-    flat = F.translate(F.lower(F.coalesce(c, F.lit(""))), _ACCENTED, _PLAIN)
+    flat = F.translate(F.lower(F.coalesce(c, F.lit(""))), ACCENTED, PLAIN)
     return F.trim(F.regexp_replace(flat, r"[^\p{L}\p{N}]+", " "))
 
 
@@ -40,9 +40,9 @@ def with_subject_types(rows: DataFrame, interviews: DataFrame, chunk: str) -> Da
     The small side gets a copy for each chunk of an interview, so the join's key is
     (interview_id, chunk) and an interview with a third of all rows meets in many tasks.
     """
-    chunks = rows.groupBy("interview_id").agg(F.collect_set(chunk).alias("_chunks"))
-    known = chunks.join(subject_types(interviews), "interview_id", "left")
-    each = known.select("interview_id", F.explode("_chunks").alias(chunk), "types", (F.size("_chunks") > 1).alias("split"))
+    chunks = rows.select("interview_id", chunk).distinct()
+    whether = chunks.groupBy("interview_id").agg((F.min(chunk) < F.max(chunk)).alias("split")).join(subject_types(interviews), "interview_id", "left")
+    each = chunks.join(whether, "interview_id").select("interview_id", chunk, "types", "split")
     return rows.join(each, ["interview_id", chunk])
 
 

@@ -15,8 +15,8 @@ from tertulia.operators.intervals import chunk_of
 #: A chunk holds the turns of one interview whose pos agree but for these low bits: 4,096 at most.
 POS_BITS = 12
 MAX_PAUSE_MS = 2_000
-#: Rows that a task holds before it aggregates them.
-FLUSH_ROWS = 50_000
+#: Chunks of 16 neighbouring interviews are folded together: 65,536 turns at most.
+BLOCK_BITS = 4
 
 
 def spoken_turns(turns: DataFrame, interviews: DataFrame, bits: int = POS_BITS) -> DataFrame:
@@ -84,20 +84,6 @@ def _effect(rows: list[tuple], pause: int) -> tuple[list[int], list[tuple], int
     return limits, [*(known[k] for k in at), unbroken, unbroken if unended is None else known[unended], known[0]], reach
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple], tuple]]:
-    """Chunk after chunk of a sorted partition: its key, its rows, and what its rows have besides."""
-    key, rows, more = None, [], ()
-    for b in batches:
-        for i, c, pos, start, end, who, *rest in zip(*(col.to_pylist() for col in b.columns)):
-            if (i, c) != key:
-                if rows:
-                    yield key, rows, more
-                key, rows, more = (i, c), [], rest
-            rows.append((pos, start, end, who))
-    if rows:
-        yield key, rows, more
-
-
 _EFFECT = pa.schema(
     [("interview_id", pa.int32()), ("chunk", pa.int64()), ("who", pa.string()), ("limits", pa.list_(pa.int64())), ("reach", pa.int64())]
     + [("outs", pa.list_(pa.struct([("who", pa.string()), ("first", pa.int64()), ("reach", pa.int64())])))]
@@ -110,26 +96,27 @@ _PART_DDL = "interview_id int, first_pos bigint, last_pos bigint, n_turns bigint
 
 
 def _effects(pause: int):
-    def run(batches):
-        for (i, c), rows, _ in _chunks(batches):
-            limits, outs, reach = _effect(rows, pause)
-            row = {"interview_id": i, "chunk": c, "who": rows[0][3], "limits": limits, "reach": reach, "outs": [dict(zip(("who", "first", "reach"), o)) for o in outs]}
-            yield pa.RecordBatch.from_pylist([row], schema=_EFFECT)
+    def run(chunk: pa.Table) -> pa.Table:
+        chunk = chunk.sort_by("pos")
+        rows = list(zip(*(chunk[c].to_pylist() for c in ("pos", "start_ms", "end_ms", "who"))))
+        limits, outs, reach = _effect(rows, pause)
+        row = {"interview_id": chunk["interview_id"][0].as_py(), "chunk": chunk["chunk"][0].as_py(), "who": rows[0][3], "limits": limits, "reach": reach, "outs": [dict(zip(("who", "first", "reach"), o)) for o in outs]}
+        return pa.Table.from_pylist([row], schema=_EFFECT)
 
     return run
 
 
-def _incoming(batches):
-    """The run that comes into each chunk but an interview's first. Input sorted by interview and chunk."""
-    entity = who = first = reach = None
+def _incoming(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The run that comes into each chunk of an interview but the first. Input sorted by chunk."""
+    at = who = first = reach = None
     for b in batches:
         found = []
         for r in b.to_pylist():
-            if r["interview_id"] != entity:
-                entity, who = r["interview_id"], None
-            else:
-                found.append({"interview_id": entity, "chunk": r["chunk"], "in_who": who, "in_first": first, "in_reach": reach})
-            n = len(r["limits"])
+            if at is not None:
+                if r["chunk"] < at:
+                    raise RuntimeError(f"chunks of interview {r['interview_id']} out of order: {at}, then {r['chunk']}")
+                found.append({"interview_id": r["interview_id"], "chunk": r["chunk"], "in_who": who, "in_first": first, "in_reach": reach})
+            at, n = r["chunk"], len(r["limits"])
             out = r["outs"][n + 2 if who != r["who"] else n + 1 if reach is None else bisect_right(r["limits"], reach)]
             if out["first"] is None:
                 reach = max((x for x in (reach, r["reach"]) if x is not None), default=None)
@@ -138,45 +125,45 @@ def _incoming(batches):
         yield pa.RecordBatch.from_pylist(found, schema=_STATE)
 
 
+def _run_starts(entity: np.ndarray, start: list, end: list, who: list, in_who: list, in_reach: list, pause: int) -> np.ndarray:
+    """Numbers of the rows that begin a run, in rising order; rows sorted by interview and pos, each interview's first row with the run that comes in."""
+    found, now, reach, same = [], None, None, None
+    for k, (i, s, e, w) in enumerate(zip(entity.tolist(), start, end, who)):
+        if i != same:
+            same, now, reach = i, in_who[k], in_reach[k]
+        if w != now or (s is not None and reach is not None and s > reach + pause):
+            found.append(k)
+            now, reach = w, e
+        elif e is not None and (reach is None or e > reach):
+            reach = e
+    return np.array(found, np.int64)
+
+
 def _parts(pause: int):
-    """For each chunk and run the part of the run in the chunk."""
-
-    def flush(chunk_rows: list[tuple]) -> pa.RecordBatch:
-        """chunk_rows: (interview_id, pos, start, end, who, first pos of the run that comes in or None, whether a run starts)."""
-        entity, pos, start, end, who, carried, opens = (list(x) for x in zip(*chunk_rows))
-        starts = np.flatnonzero(opens)  # sorted run starts; a carried run's part starts with its chunk
-        runs = np.searchsorted(starts, np.arange(len(pos)), "right") - 1  # each turn's run by binary search
-        counts = np.bincount(runs, minlength=len(starts))
-        low = np.minimum.reduceat(np.array([2**62 if x is None else x for x in start], np.int64), starts)
-        high = np.maximum.reduceat(np.array([-(2**62) if x is None else x for x in end], np.int64), starts)
-        ends = starts + counts - 1
+    """For each run the part of it in one chunk of neighbouring interviews."""
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.sort_by([("interview_id", "ascending"), ("pos", "ascending")])
+        entity, pos = (block[c].to_numpy() for c in ("interview_id", "pos"))
+        start, end, who, in_who, in_first, in_reach = (block[c].to_pylist() for c in ("start_ms", "end_ms", "who", "in_who", "in_first", "in_reach"))
+        starts = _run_starts(entity, start, end, who, in_who, in_reach, pause)
+        heads = np.flatnonzero(np.diff(entity, prepend=entity[0] - 1))  # a run that comes in has its part begin with the chunk
+        bounds = np.union1d(starts, heads)
+        of = np.searchsorted(bounds, np.arange(len(pos)), "right") - 1  # each turn's run by binary search
+        counts = np.bincount(of, minlength=len(bounds))
+        low = np.minimum.reduceat(np.array([2**62 if x is None else x for x in start], np.int64), bounds)
+        high = np.maximum.reduceat(np.array([-(2**62) if x is None else x for x in end], np.int64), bounds)
+        opened = np.isin(bounds, starts)
         column = {
-            "interview_id": pa.array([entity[k] for k in starts], pa.int32()),
-            "first_pos": pa.array([pos[k] if carried[k] is None else carried[k] for k in starts], pa.int64()),
-            "last_pos": pa.array([pos[k] for k in ends], pa.int64()),
+            "interview_id": pa.array(entity[bounds], pa.int32()),
+            "first_pos": pa.array([int(pos[k]) if o else in_first[k] for k, o in zip(bounds, opened)], pa.int64()),
+            "last_pos": pa.array(pos[bounds + counts - 1], pa.int64()),
             "n_turns": pa.array(counts, pa.int64()),
             "start_ms": pa.array(low, pa.int64(), mask=low == 2**62),
             "end_ms": pa.array(high, pa.int64(), mask=high == -(2**62)),
-            "speaker": pa.array([who[k] for k in starts], pa.string()),
+            "speaker": pa.array([who[k] for k in bounds], pa.string()),
         }
-        return pa.RecordBatch.from_arrays(list(column.values()), schema=_PART)
-
-    def run(batches):
-        held: list[tuple] = []
-        for (i, _), rows, (in_who, in_first, in_reach) in _chunks(batches):
-            now, reach = in_who, in_reach
-            for k, (pos, start, end, who) in enumerate(rows):
-                opens = who != now or (start is not None and reach is not None and start > reach + pause)
-                if opens:
-                    now, reach = who, end
-                elif end is not None and (reach is None or end > reach):
-                    reach = end
-                held.append((i, pos, start, end, who, None if opens else in_first, opens or not k))
-            if len(held) >= FLUSH_ROWS:
-                yield flush(held)
-                held = []
-        if held:
-            yield flush(held)
+        return pa.Table.from_arrays(list(column.values()), schema=_PART)
 
     return run
 
@@ -193,15 +180,16 @@ def event_runs(turns: DataFrame, interviews: DataFrame, min_turns: int = 1, max_
 
     Chunks of pos are folded apart. A chunk tells for any incoming reach which run goes out;
     those effects are applied in order (one small row a chunk, 2**19 for the longest interview
-    that INT positions allow), and each chunk then gets the run that comes in.
+    that INT positions allow), and each chunk then gets the run that comes in. Each step is a
+    grouping that the planner knows of, so a plan that changes while it runs keeps chunks whole;
+    a chunk is sorted where it is folded.
     """
     spoken = spoken_turns(turns, interviews, bits)
     plain = ["interview_id", "chunk", "pos", "start_ms", "end_ms", "who"]
-    ordered = lambda df: df.repartition("interview_id", "chunk").sortWithinPartitions("interview_id", "chunk", "pos")
-    effects = ordered(spoken.where("split").select(*plain)).mapInArrow(_effects(max_pause_ms), _EFFECT_DDL)
-    states = effects.repartition("interview_id").sortWithinPartitions("interview_id", "chunk").mapInArrow(_incoming, _STATE_DDL)
+    effects = spoken.where("split").select(*plain).groupBy("interview_id", "chunk").applyInArrow(_effects(max_pause_ms), _EFFECT_DDL)
+    states = effects.repartition("interview_id").sortWithinPartitions("interview_id", "chunk").groupBy("interview_id").applyInArrow(_incoming, _STATE_DDL)
     known = spoken.select(*plain).join(states, ["interview_id", "chunk"], "left").select(*plain, "in_who", "in_first", "in_reach")
-    parts = ordered(known).mapInArrow(_parts(max_pause_ms), _PART_DDL)
+    parts = known.groupBy(F.shiftright("interview_id", BLOCK_BITS).alias("block"), "chunk").applyInArrow(_parts(max_pause_ms), _PART_DDL)
     whole = parts.groupBy("interview_id", "first_pos").agg(
         F.max("last_pos").alias("last_pos"), F.sum("n_turns").alias("n_turns"), F.min("speaker").alias("speaker"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")
     )

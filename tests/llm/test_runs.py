@@ -60,3 +60,33 @@ def test_empty_table_and_extra_columns(spark):
     i = spark.createDataFrame([(1, "Docente", "x", "y")], INTERVIEWS + ", split string")
     r = event_runs(t, i).collect()
     assert [(x.n_turns, x.start_ms, x.end_ms, x.duration_ms, x.speaker) for x in r] == [(2, 0, 9, 9, "subject")]
+
+
+def test_plans_that_change_while_they_run(spark, tmp_path):
+    """Joins turned into broadcasts or split for skew at run time must not cut chunks apart; nor must tables beyond the static broadcast limit."""
+    rng, rows = random.Random(3), []
+    for i in range(1, 40):
+        at = 0
+        for pos in range(3000 if i == 1 else rng.randint(1, 200)):
+            at += rng.choice([0, 500, 1500, 2500, 9000])
+            rows.append((i, pos, at, at + rng.choice([0, 800, 6000]), rng.choice(["a1", "a1", "b1"]), "hola " * 5))
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, TURNS).repartition(6).write.parquet(str(tmp_path / "turns"))
+    spark.createDataFrame([(i, "Docente", "x") for i in range(1, 40)], INTERVIEWS).write.parquet(str(tmp_path / "interviews"))
+    every = {
+        "late broadcast": {"spark.sql.autoBroadcastJoinThreshold": "1KB", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB"},
+        "skew split": {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "0.1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB", "spark.sql.adaptive.forceOptimizeSkewedJoin": "true"},
+        "static": {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "1KB"},
+    }
+    for name, conf in every.items():
+        conf |= {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.localShuffleReader.enabled": "true"}
+        old = {k: spark.conf.get(k, None) for k in conf}
+        try:
+            for k, v in conf.items():
+                spark.conf.set(k, v)
+            for bits in (4, 12):
+                found = event_runs(spark.read.parquet(str(tmp_path / "turns")), spark.read.parquet(str(tmp_path / "interviews")), bits=bits)
+                assert sorted((r.interview_id, r.first_pos, r.last_pos, r.n_turns) for r in found.collect()) == literal(rows), (name, bits)
+        finally:
+            for k, v in old.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
