@@ -9,6 +9,8 @@ from tertulia.functions.text import col, trim
 # Spanish month names.
 MONTHS = "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split()
 DATE = r"^(\d{4})-(\d{2})-(\d{2})(?:[ T](\d{2}):(\d{2}))?"
+# What counts as white space when texts are trimmed for reading.
+WHITE = " \t\n\r\v\f\u00a0\ufeff\u2028\u2029"
 MARKER = r"\[[A-ZÁÉÍÓÚÑ]+(?:_[A-ZÁÉÍÓÚÑ0-9]+)*\]"
 
 
@@ -95,8 +97,8 @@ def entity_line(line: str | Column) -> Column:
 
 
 def paragraphs(text: str | Column) -> Column:
-    """Trimmed parts between blank lines, empty ones left out."""
-    return F.filter(F.transform(F.split(col(text), r"\n\s*\n"), F.trim), lambda p: p != "")
+    """Parts between blank lines without outer white space of any kind, empty ones left out."""
+    return F.filter(F.transform(F.split(col(text), r"\n\s*\n"), lambda p: F.btrim(p, F.lit(WHITE))), lambda p: p != "")
 
 
 def half_seconds(seconds: str | Column) -> Column:
@@ -105,8 +107,10 @@ def half_seconds(seconds: str | Column) -> Column:
 
 
 def score_text(score: str | Column) -> Column:
-    """X17."""
-    return F.format_string("%.3f", col(score).cast("double"))
+    """Three decimals; exact halves, which are multiples of a sixteenth, to the even digit."""
+    v = col(score).cast("double")
+    tie = v * 16 == F.floor(v * 16)
+    return F.format_string("%.3f", F.when(tie, F.bround(v.cast("decimal(20,6)"), 3).cast("double")).otherwise(v))
 
 
 def joined(words: str | Column, start: int | Column, stop: int | Column) -> Column:

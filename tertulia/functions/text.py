@@ -1,5 +1,6 @@
 """Text primitives as Column expressions. Lengths are of UTF-8 bytes unless said otherwise, lower case is ASCII only."""
 
+import re
 import string
 from collections.abc import Iterator
 
@@ -88,6 +89,39 @@ def is_question(s: str | Column) -> Column:
     return F.rlike(col(s), F.lit("[?¿]"))
 
 
+def valid_text(raw: str | Column) -> Column:
+    """Bytes as text, with U+FFFD for each byte that begins no sequence or whose sequence the end cuts off, and one for each sequence of the length its first byte tells that has a wrong byte in it.
+
+    Well-formed input, which a built-in function tells, never goes through Python. What is UTF-8
+    in form but not in value (overlong, surrogate) is U+FFFD too.
+    """
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series([None if x is None else _repaired(bytes(x)) for x in b], dtype="object")
+
+    c = col(raw)
+    valid = F.is_valid_utf8(c.cast("string"))
+    repaired = F.pandas_udf(run, "string")(F.when(~valid, c))
+    return F.when(valid, c.cast("string")).otherwise(repaired)
+
+
+# The first byte of a sequence tells its length by its leading ones.
+_SEQUENCE = re.compile(rb"[\x00-\x7f]+|[\xc0-\xdf].|[\xe0-\xef]..|[\xf0-\xf7]...|.", re.S)
+
+
+def _repaired(raw: bytes) -> str:
+    return "".join(m[0].decode("utf-8", "strict") if _decodes(m[0]) else "\ufffd" for m in _SEQUENCE.finditer(raw))
+
+
+def _decodes(part: bytes) -> bool:
+    try:
+        part.decode("utf-8")
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 def single_line(s: str | Column) -> Column:
     """Line breaks as spaces, trimmed."""
     return trim(F.translate(col(s), "\n\r", "  "))

@@ -14,6 +14,7 @@ from tertulia.schema import ACTIVE_JOB, INTERVIEW_STATUS, JOB_STATUS, STEPS
 KEYWORD_BYTES, KEYWORDS_MAX = 80, 100
 UPLOAD_MAX_BYTES = 1024**3
 VIDEO_EXTENSIONS = [".mp4"]
+ACCEPTED_EXTENSIONS = ["mp3", "wav", "ogg", "m4a", "mp4"]
 
 
 def latest(rows: DataFrame, key: list[str], by: list[Column]) -> DataFrame:
@@ -36,8 +37,8 @@ def upserted(table: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
 def appended(table: DataFrame, new: DataFrame, order: str, id_col: str = "id") -> DataFrame:
     """M3: new rows with ids that follow the greatest one, in order of an integer column."""
     top = table.agg(F.max(id_col)).first()[0] or 0
-    numbered = renumbered(new.withColumn("_all", F.lit(0)), "_n", "_all", order)
-    with_ids = numbered.withColumn(id_col, (F.lit(top + 1) + F.col("_n")).cast("int")).drop("_n", "_all")
+    in_order = renumbered(new.withColumn("_all", F.lit(0)), "_n", "_all", order)
+    with_ids = in_order.withColumn(id_col, (F.lit(top + 1) + F.col("_n")).cast("int")).drop("_n", "_all")
     return table.unionByName(with_ids, allowMissingColumns=True)
 
 
@@ -46,6 +47,27 @@ def removed(children: DataFrame, gone: DataFrame, key: str = "interview_id") ->
     return children.join(gone.select(F.col("id").alias(key)), key, "left_anti")
 
 
+def audio_replaced(interviews: DataFrame, audio: DataFrame, results: DataFrame, jobs: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """M7: (interviews, audio, results, outcomes) after new audio (interview_id, interview_audio_path, interview_audio_format, interview_audio_size), one row an interview.
+
+    Only interviews that are there and have no active job take it; outcomes (interview_id,
+    outcome, replaced_path) tells 'ok', 'not_found' or 'busy', and which old file goes. Where an
+    audio is replaced its result goes; an interview that takes one is pending_processing.
+    """
+    known = exists(interviews, new.select(F.col("interview_id").alias("id"))).withColumnRenamed("id", "interview_id")
+    busy = known.join(active(jobs).withColumn("_b", F.lit(True)), "interview_id", "left")
+    outcome = F.when(~F.col("found"), "not_found").when(F.col("_b").isNotNull(), "busy").otherwise("ok")
+    judged = busy.select("interview_id", outcome.alias("outcome"))
+    old = audio.select("interview_id", F.col("interview_audio_path").alias("_old"))
+    with_old = judged.join(old, "interview_id", "left").join(new.select("interview_id", F.col("interview_audio_path").alias("_new")), "interview_id")
+    outcomes = with_old.select("interview_id", "outcome", F.when((F.col("outcome") == "ok") & ~F.col("_old").eqNullSafe(F.col("_new")), F.col("_old")).alias("replaced_path"))
+    taken = judged.where("outcome = 'ok'").select("interview_id")
+    put = upserted(audio, new.join(taken, "interview_id", "left_semi"), ["interview_id"])
+    replaced = taken.join(audio.select("interview_id"), "interview_id", "left_semi").withColumnRenamed("interview_id", "id")
+    waiting = interviews.join(taken.select(F.col("interview_id").alias("id"), F.lit("pending_processing").alias("_s")), "id", "left")
+    return waiting.withColumn("status", F.coalesce("_s", "status")).drop("_s").select(*interviews.columns), put, removed(results, replaced), outcomes
+
+
 def truncated(table: DataFrame) -> DataFrame:
     """M8: the table without rows."""
     return table.limit(0)
@@ -176,10 +198,16 @@ def within_token_budget(terms: DataFrame, cost: Column, budget: int = 150) -> Da
 
 
 def upload_fault(name: Column, size: Column, mime: Column, signature_ok: Column, mimes: list[str]) -> Column:
-    """P10 to P12: 'size', 'type' or 'content' of an upload, null if it may come in."""
+    """P10: 'size', 'type' or 'content' of an upload, null if it may come in."""
     return F.when(size > UPLOAD_MAX_BYTES, "size").when(~mime.isin(mimes), "type").when(~signature_ok, "content")
 
 
+def client_fault(name: Column, size: Column) -> Column:
+    """P12: 'type' or 'size' of a chosen file by what follows its last dot, in any case (the whole name without a dot), null if it may be sent."""
+    ext = F.lower(F.element_at(F.split(name, r"\."), -1))
+    return F.when(~F.coalesce(ext, F.lit("")).isin(ACCEPTED_EXTENSIONS), "type").when(size > UPLOAD_MAX_BYTES, "size")
+
+
 def is_video(extension: Column) -> Column:
     """P11."""
     return lower_ascii(extension).isin(VIDEO_EXTENSIONS)
@@ -201,13 +229,29 @@ def process_options(body: Column) -> DataFrame | Column:
     return F.struct(flag("includeSummary").alias("include_summary"), flag("enhanceTranscript").alias("enhance"))
 
 
-def step_views(jobs: DataFrame) -> DataFrame:
-    """(interview_id, step, ordinal, state) of each interview's latest running job: done, current or pending by the order of steps."""
+def step_views(jobs: DataFrame, terms: DataFrame | None = None, options: DataFrame | None = None) -> DataFrame:
+    """(interview_id, step, ordinal, state) of each interview's latest running job: done, current, pending or, where nobody knows whether it was asked for, optional.
+
+    With terms (interview_id, n_keywords) the glossary step is left out where there are none,
+    and the steps of correction, anonymisation and summary are those of options (interview_id,
+    include_summary, enhance), optional without a row; the current step is always shown. Without
+    terms every step is shown, known.
+    """
     at = F.coalesce(F.array_position(F.array(*map(F.lit, STEPS)), F.col("current_step")) - 1, F.lit(-1))
     steps = F.array(*(F.struct(F.lit(k).alias("ordinal"), F.lit(x).alias("step")) for k, x in enumerate(STEPS)))
     each = current_step(jobs).select("interview_id", at.alias("_now"), F.explode(steps).alias("s")).select("interview_id", "_now", "s.*")
-    state = F.when(F.col("ordinal") < F.col("_now"), "done").when(F.col("ordinal") == F.col("_now"), "current").otherwise("pending")
-    return each.select("interview_id", "step", "ordinal", state.alias("state"))
+    shown = F.lit(True)
+    if terms is not None:
+        each = each.join(terms.select("interview_id", "n_keywords"), "interview_id", "left")
+        none = each.select("interview_id").limit(0).selectExpr("interview_id", "cast(null as boolean) include_summary", "cast(null as boolean) enhance")
+        each = each.join((none if options is None else options).select("interview_id", "include_summary", "enhance"), "interview_id", "left")
+        rewriting = F.col("_now").isin(STEPS.index("corrigiendo_texto"), STEPS.index("anonimizando"))
+        shown = (
+            F.when((F.col("ordinal") == F.col("_now")) | (F.col("ordinal") < STEPS.index("aplicando_glosario")), True).when(F.col("step") == "aplicando_glosario", F.coalesce("n_keywords", F.lit(0)) > 0)
+            .when(F.col("step") == "generando_resumen", F.col("include_summary")).when(rewriting, True).otherwise(F.col("enhance"))
+        )
+    state = F.when(shown.isNull(), "optional").when(F.col("ordinal") < F.col("_now"), "done").when(F.col("ordinal") == F.col("_now"), "current").otherwise("pending")
+    return each.withColumn("_shown", shown).withColumn("state", state).where(F.coalesce("_shown", F.lit(True))).select("interview_id", "step", "ordinal", "state")
 
 
 def job_status_order(status: Column) -> Column:

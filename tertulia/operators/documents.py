@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tertulia.functions.formats import MARKER, match_count
 from tertulia.functions.text import ends_sentence, lines, single_line, trim
 from tertulia.operators.folds import streamed
-from tertulia.operators.ordered import counted, filled, lagged, running
+from tertulia.operators.ordered import filled, labelled, running
 
 # Lines of a paragraph; limits of edits.
 PARAGRAPH_MIN, PARAGRAPH_MAX = 4, 9
@@ -38,8 +38,7 @@ def merged(turns: DataFrame) -> DataFrame:
 
     start is the first turn's, even if null; end the last one that is not null.
     """
-    before = lagged(spoken(turns), {"_who": F.col("speaker")})
-    blocks = counted(before, F.col("is_first") | ~F.col("speaker").eqNullSafe(F.col("_who")), "block")
+    blocks = labelled(spoken(turns), F.col("speaker"), "block")
     end = F.max_by("end_ms", F.when(F.col("end_ms").isNotNull(), F.col("pos")))
     return blocks.groupBy("interview_id", "block").agg(F.min_by("start_ms", "pos").alias("start_ms"), end.alias("end_ms"), F.first("speaker").alias("speaker"), F.count("*").alias("n_turns"), _text().alias("text"))
 
@@ -98,40 +97,73 @@ def paragraphs(turns: DataFrame) -> DataFrame:
 
 
 LEGACY_LABEL = r"^([^:\[\]]{1,40}):\s+(.+)$"
+# Labels of stored plain texts and the roles they stand for; how a notice begins.
+LEGACY_ROLES = {INTERVIEWER_LABEL: "interviewer", SUBJECT_LABEL: "subject"}
+NOTICE_PREFIX = "[AVISO"
 
 
-def legacy_lines(texts: DataFrame, labels: list[str] | None = None) -> DataFrame:
-    """(interview_id, pos, line, label, said) of stored plain texts (interview_id, text), blank lines left out.
+def without_notice(texts: DataFrame, prefix: str = NOTICE_PREFIX) -> DataFrame:
+    """Texts (interview_id, text) with the column notice: what stands before the first blank line of a text that begins with the prefix, trimmed; text is the rest, '' without a blank line. Else notice is null."""
+    has = F.startswith("text", F.lit(prefix))
+    at = F.instr("text", "\n\n")
+    notice = F.when(has, trim(F.when(at > 0, F.substring(F.col("text"), F.lit(1), at - 1)).otherwise(F.col("text"))))
+    body = F.when(~has, F.col("text")).when(at > 0, F.substring(F.col("text"), at + 2, F.length("text"))).otherwise("")
+    return texts.select("*", notice.alias("notice"), body.alias("_body")).withColumn("text", F.col("_body")).drop("_body")
 
-    label and said are null where a line does not start with a label and a colon.
+
+def legacy_lines(texts: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:
+    """(interview_id, pos, line, label, said) of stored plain texts (interview_id, text), blank lines left out.
+
+    label and said are null where a line does not start with a label. labels maps known labels,
+    each directly before a colon, to what stands for them; without it any short beginning with a
+    colon and a space is its own label.
     """
     each = texts.select("interview_id", F.posexplode(lines("text")).alias("pos", "line"))
-    found = F.rlike("line", F.lit(LEGACY_LABEL))
-    if labels is not None:
-        found = found & F.regexp_extract("line", LEGACY_LABEL, 1).isin(labels)
-    return each.withColumn("label", F.when(found, F.regexp_extract("line", LEGACY_LABEL, 1))).withColumn("said", F.when(found, F.regexp_extract("line", LEGACY_LABEL, 2)))
+    if labels is None:
+        found = F.rlike("line", F.lit(LEGACY_LABEL))
+        return each.withColumn("label", F.when(found, F.regexp_extract("line", LEGACY_LABEL, 1))).withColumn("said", F.when(found, F.regexp_extract("line", LEGACY_LABEL, 2)))
+    head = F.substring_index("line", ":", 1)
+    role = F.when(F.contains("line", F.lit(":")), F.create_map(*(F.lit(x) for pair in labels.items() for x in pair))[head])
+    return each.withColumn("label", role).withColumn("said", F.when(F.col("label").isNotNull(), trim(F.substring(F.col("line"), F.length(head) + 2, F.length("line")))))
 
 
-def label_share(texts: DataFrame, labels: list[str] | None = None) -> DataFrame:
+def label_share(texts: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:
     """(interview_id, n_lines, n_labelled, has_speakers): half of the lines labelled."""
     return legacy_lines(texts, labels).groupBy("interview_id").agg(F.count("*").alias("n_lines"), F.count("label").alias("n_labelled")).withColumn("has_speakers", F.col("n_labelled") * 2 >= F.col("n_lines"))
 
 
-def legacy_blocks(texts: DataFrame, labels: list[str] | None = None) -> DataFrame:
-    """(interview_id, block, speaker, text) of labelled texts: a line without a label goes to the block before it, or to one without a speaker."""
+def legacy_blocks(texts: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:
+    """(interview_id, block, speaker, text) of labelled texts: a line without a label goes to the block before it, or to one without a speaker; what is blank adds nothing."""
     marked = legacy_lines(texts, labels).join(label_share(texts, labels).where("has_speakers"), "interview_id", "left_semi")
-    who = lagged(filled(marked, "label", "_who"), {"_was": F.col("_who")})
-    blocks = counted(who, F.col("is_first") | ~F.col("_who").eqNullSafe(F.col("_was")), "block").withColumn("text", F.coalesce("said", "line"))
-    return blocks.groupBy("interview_id", "block").agg(F.first("_who").alias("speaker"), _text().alias("text"))
+    blocks = labelled(filled(marked, "label", "_who"), F.col("_who"), "block").withColumn("text", F.nullif(F.coalesce("said", "line"), F.lit("")))
+    return blocks.groupBy("interview_id", "block").agg(F.first("_who").alias("speaker"), F.coalesce(_text(), F.lit("")).alias("text"))
 
 
-def legacy_paragraphs(texts: DataFrame, labels: list[str] | None = None) -> DataFrame:
+def legacy_paragraphs(texts: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:
     """unlabelled texts as paragraphs, without times."""
     marked = legacy_lines(texts, labels).join(label_share(texts, labels).where(~F.col("has_speakers")), "interview_id", "left_semi")
     none = F.lit(None).cast("bigint")
     return paragraphs(marked.select("interview_id", "pos", none.alias("start_ms"), none.alias("end_ms"), F.col("line").alias("text"))).select("interview_id", "first_pos", "n_lines", "text")
 
 
+def serialized(blocks: DataFrame, headers: DataFrame, interviews: DataFrame) -> DataFrame:
+    """(interview_id, value): the JSON of each document, blocks (interview_id, pos, speaker, start_ms, end_ms, text) in order with times in seconds.
+
+    headers: (interview_id, speaker_source, edited, notice, summary). Flags are those of the
+    blocks (A10); the two speakers have the labels of P14. A header without blocks has none.
+    """
+    second = lambda c: F.col(c) / 1000.0
+    block = F.struct(F.col("pos").alias("p"), F.struct("speaker", second("start_ms").alias("start"), second("end_ms").alias("end"), "text").alias("b"))
+    nested = blocks.groupBy("interview_id").agg(F.sort_array(F.collect_list(block)).alias("_b"), F.bool_or(F.col("speaker").isNotNull()).alias("_s"), F.bool_or(F.col("start_ms").isNotNull()).alias("_t"))
+    whole = headers.join(nested, "interview_id", "left").join(interviews.select(F.col("id").alias("interview_id"), F.col("interview_subject_type").alias("_type")), "interview_id", "left")
+    named = lambda role: F.struct(F.lit(role).alias("key"), label(F.lit(role), F.col("_type")).alias("label"))
+    body = F.struct(
+        F.col("interview_id").alias("id"), F.coalesce("_s", F.lit(False)).alias("has_speakers"), F.coalesce("_t", F.lit(False)).alias("has_timestamps"), "speaker_source", "edited", "notice", "summary",
+        F.array(named("interviewer"), named("subject")).alias("speakers"), F.coalesce(F.col("_b.b"), F.array().cast("array<struct<speaker:string,start:double,end:double,text:string>>")).alias("blocks"),
+    )
+    return whole.select("interview_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("value"))
+
+
 def overlaid(edited: DataFrame, pipeline: DataFrame, legacy: DataFrame | None = None) -> DataFrame:
     """The rows of the edited version where an interview has one, else of the pipeline, else of the legacy text; source tells which."""
     parts, seen = [edited.withColumn("source", F.lit("edited"))], edited.select("interview_id").distinct()
@@ -179,9 +211,15 @@ def swapped(turns: DataFrame) -> DataFrame:
 
 
 def changed(draft: DataFrame, original: DataFrame) -> DataFrame:
-    """Interviews whose draft differs from the original."""
-    cols = original.columns
-    return draft.select(*cols).exceptAll(original).unionByName(original.exceptAll(draft.select(*cols))).select("interview_id").distinct()
+    """Interviews whose draft differs from the original: some row, repeats counted, is not as often in the one as in the other.
+
+    Rows are compared by a hash of 256 bits of their JSON, so texts do not shuffle, and equal
+    rows are taken off against each other before they do.
+    """
+    row = F.to_json(F.struct(*(F.col(c) for c in original.columns)), {"ignoreNullFields": "false"})
+    side = lambda df, n: df.select("interview_id", F.sha2(row, 256).alias("_h"), F.lit(n).alias("_n"))
+    counts = side(draft, 1).unionByName(side(original, -1)).groupBy("interview_id", "_h").agg(F.sum("_n").alias("_n"))
+    return counts.where("_n <> 0").select("interview_id").distinct()
 
 
 def effective_starts(blocks: DataFrame) -> DataFrame:
@@ -202,8 +240,10 @@ def active_blocks(blocks: DataFrame, times: DataFrame) -> DataFrame:
     return swept.where("time_ms is not null and _now is not null").select("interview_id", "time_ms", "_now.first_pos", "_now.last_pos").distinct()
 
 
-def match_counts(blocks: DataFrame, needle: str, text: str = "text") -> DataFrame:
-    """(interview_id, n_matches)."""
+def match_counts(blocks: DataFrame, needle: str, text: str = "text", summaries: DataFrame | None = None) -> DataFrame:
+    """(interview_id, n_matches) over the blocks and, where given, summaries (interview_id, summary); a match does not cross blocks."""
+    if summaries is not None:
+        blocks = blocks.select("interview_id", text).unionByName(summaries.select("interview_id", F.coalesce("summary", F.lit("")).alias(text)))
     return blocks.groupBy("interview_id").agg(F.sum(match_count(text, needle)).cast("bigint").alias("n_matches"))
 
 
@@ -219,14 +259,22 @@ def disclaimer(source: Column, edited: Column) -> Column:
 
 def _edit_fold():
     blocks: list[list] = []
+    passed = 0  # blocks of a transcript too long to be edited, which are handed on as they come
 
     def step(entity, seq, op, pos, at, start, end, speaker, text) -> list[tuple]:
+        nonlocal passed
         if op == "row":
-            blocks.append([entity, start, end, speaker, text])
+            blocks.append([entity, start, end, speaker, text or ""])
+            if len(blocks) > EDIT_BLOCKS or passed:
+                out = [(b[0], passed + k, *b[1:]) for k, b in enumerate(blocks)]
+                passed += len(blocks)
+                blocks.clear()
+                return out
         elif op == "split" and pos < len(blocks):
             b = blocks[pos]
             first, second = b[4][:at].strip(), b[4][at:].strip()
-            blocks[pos : pos + 1] = [[b[0], b[1], None, b[3], first], [b[0], None, b[2], b[3], second]]
+            if first and second:
+                blocks[pos : pos + 1] = [[b[0], b[1], None, b[3], first], [b[0], None, b[2], b[3], second]]
         elif op == "merge" and 0 < pos < len(blocks):
             a, b = blocks[pos - 1], blocks[pos]
             a[4], a[2] = f"{a[4].strip()} {b[4].strip()}".strip(), b[2] if b[2] is not None else a[2]
@@ -241,8 +289,9 @@ def _edit_fold():
 def edited_blocks(blocks: DataFrame, log: DataFrame) -> DataFrame:
     """blocks after an edit log (interview_id, seq, op, pos, at): split at a character, merge with the block before, remove.
 
-    Edits that name a block which is not there do nothing. An interview is edited by one person
-    and has at most EDIT_BLOCKS blocks.
+    Edits that name a block which is not there do nothing, nor does a split that leaves one side
+    blank. Transcripts of more than EDIT_BLOCKS blocks may not be saved (P5): they come out
+    unedited, so a task holds no more than those of one interview.
     """
     none = lambda t: F.lit(None).cast(t)
     rows = blocks.select("interview_id", (F.col("pos").cast("bigint") - 2**40).alias("seq"), F.lit("row").alias("op"), F.col("pos").cast("int").alias("pos"), none("int").alias("at"), "start_ms", "end_ms", "speaker", "text")

@@ -6,20 +6,25 @@ positions from 0 in each interview.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tertulia.functions.text import clock_cs, col, common_substring, folded, has_punctuation, normalized, words
 from tertulia.operators.folds import streamed
-from tertulia.operators.ordered import counted, lagged, renumbered, running, with_neighbours
+from tertulia.operators.ordered import counted, renumbered, running, with_neighbours
 from tertulia.session import checkpointed
 
 # Texts that recognisers make up, without spaces and accents.
 HALLUCINATION_PHRASES = ["graciasporverelvideo", "graciasporver", "suscribetealcanal", "noolvidessuscribirte", "subtitulosrealizadosporlacomunidaddeamaraorg"]
 HALLUCINATION_PARTS = ["amaraorg", "subtitulospor", "subtituladopor", "transcripcionysubtitulos"]
 # Limits, in centiseconds, bytes and rows.
+#: Times in centiseconds that agree but for these bits, 22 minutes, are a chunk.
+TIME_BITS = 17
 PHRASE_MAX_CS, GAP_MIN_CS, UNPUNCTUATED_MIN_CS = 300, 800, 6_000
 LONG_BYTES, LONG_REPEATS, SHORT_REPEATS = 15, 3, 4
 ECHO_BYTES, NEIGHBOURS = 25, 3
+MARK_BYTES = ECHO_BYTES - 3 * 3
 STYLE_PROMPT = "¿Y cómo lo hacen ustedes? Bueno, depende del caso, pero en general sí."
 
 
@@ -51,14 +56,29 @@ def with_repeats(segments: DataFrame) -> DataFrame:
 def with_echo(segments: DataFrame, prompt: str = STYLE_PROMPT) -> DataFrame:
     """Q4: column echo, whether at least 25 bytes and half of the plain text are a stretch of the prompt.
 
-    Texts under 25 bytes never go through Python.
+    Built-in functions tell the texts that share no MARK_BYTES with the prompt, which no stretch
+    can do without; only the others go through Python.
     """
-    n = segments.withColumn("_p", plain("text"))
-    long = n.where(F.octet_length("_p") >= ECHO_BYTES)
-    short = n.where(F.coalesce(F.octet_length("_p") < ECHO_BYTES, F.lit(True))).withColumn("echo", F.lit(False))
-    copied = common_substring("_p", plain(F.lit(prompt)))
-    scored = long.withColumn("_c", copied).withColumn("echo", (F.col("_c") >= ECHO_BYTES) & (2 * F.col("_c") >= F.octet_length("_p"))).drop("_c")
-    return scored.unionByName(short).drop("_p")
+    flat = _plain_text(prompt)
+    may = reduce(lambda a, b: a | b, (F.contains(F.col("_p"), F.lit(m)) for m in _marks(flat)), F.lit(False))
+    asked = segments.withColumn("_p", plain("text")).withColumn("_c", common_substring(F.when((F.octet_length("_p") >= ECHO_BYTES) & may, F.col("_p")), F.lit(flat)))
+    return asked.withColumn("echo", F.coalesce((F.col("_c") >= ECHO_BYTES) & (2 * F.col("_c") >= F.octet_length("_p")), F.lit(False))).drop("_c", "_p")
+
+
+def _plain_text(text: str) -> str:
+    """plain() of a Python string."""
+    kept = "".join((c.lower() if c < "\x80" else c) for c in text if c > "\x7f" or c.isalnum())
+    return kept.translate(str.maketrans("áéíóúüñ", "aeiouun", "¿¡"))
+
+
+def _marks(flat: str) -> list[str]:
+    """From each character on, the fewest characters of MARK_BYTES; of any ECHO_BYTES, which may cut a character at either end, one is a part."""
+    found = []
+    for k in range(len(flat)):
+        end = next((e for e in range(k + 1, len(flat) + 1) if len(flat[k:e].encode()) >= MARK_BYTES), None)
+        if end:
+            found.append(flat[k:end])
+    return sorted(set(found))
 
 
 def with_drop_reason(segments: DataFrame, prompt: str = STYLE_PROMPT) -> DataFrame:
@@ -101,16 +121,31 @@ def repeat_runs(segments: DataFrame) -> DataFrame:
     return streamed(texts, ["pos", "_n"], "interview_id int, first_pos bigint, last_pos bigint, n bigint", _repeat_fold)
 
 
-def loops_replaced(segments: DataFrame) -> DataFrame:
-    """loops without a retry: the first row stays, one marker row stands for the rest; positions are renumbered."""
-    runs = repeat_runs(segments).select("interview_id", F.explode(F.sequence("first_pos", "last_pos")).alias("pos"), "first_pos", "last_pos")
-    marked = segments.join(runs, ["interview_id", "pos"], "left")
-    keep = marked.where("first_pos is null or pos = first_pos").select("interview_id", "pos", "t0", "t1", "text", F.lit(0).alias("_part"))
-    spans = marked.where("first_pos is not null").groupBy("interview_id", "first_pos").agg(F.min_by("t1", "pos").alias("t0"), F.max_by("t1", "pos").alias("t1"))
+def marked_loops(segments: DataFrame, loops: DataFrame) -> DataFrame:
+    """(interview_id, run_id, pos, t0, t1, text) of loops (interview_id, run_id, first_pos, last_pos) without a retry: the first row, and one without words that names the rest as not transcribed."""
+    covered = loops.select("interview_id", "run_id", "first_pos", "last_pos", F.explode(F.sequence("first_pos", "last_pos")).alias("pos"))
+    rows = segments.join(covered, ["interview_id", "pos"]).where("pos = first_pos or pos = last_pos")
+    columns = ["t0", "t1", "text", *_words_of(segments)]
+    first = rows.where("pos = first_pos").select("interview_id", "run_id", F.lit(0).alias("pos"), *columns)
+    span = rows.groupBy("interview_id", "run_id").agg(F.min_by("t1", "pos").alias("t0"), F.max_by("t1", "pos").alias("t1"))
     note = F.concat(F.lit("[audio no transcrito "), clock_cs("t0"), F.lit("-"), clock_cs("t1"), F.lit("]"))
-    notes = spans.select("interview_id", F.col("first_pos").alias("pos"), "t0", "t1", note.alias("text"), F.lit(1).alias("_part"))
-    both = keep.unionByName(notes).withColumn("_order", F.col("pos").cast("bigint") * 2 + F.col("_part"))
-    return renumbered(both.drop("pos"), "pos", order="_order").select("interview_id", F.col("pos").cast("int").alias("pos"), "t0", "t1", "text")
+    return first.unionByName(span.select("interview_id", "run_id", F.lit(1).alias("pos"), "t0", "t1", note.alias("text")), allowMissingColumns=True)
+
+
+def loops_replaced(segments: DataFrame, retries: DataFrame | None = None) -> DataFrame:
+    """Q6: each loop (F1) replaced by its retry rows (run_id is the loop's first pos) if there are any and they have no loop, else by F2; positions are renumbered."""
+    loops = checkpointed(repeat_runs(segments).withColumn("run_id", F.col("first_pos")))
+    key = ["interview_id", "run_id"]
+    if retries is None:
+        return spliced(segments, loops, marked_loops(segments, loops))
+    good = checkpointed(with_loops(retries.join(loops.select(*key), key, "left_semi")).where("not has_loop").drop("has_loop"))
+    lost = marked_loops(segments, loops.join(good.select(*key).distinct(), key, "left_anti"))
+    return spliced(segments, loops, lost.unionByName(good.select("interview_id", "run_id", "pos", "t0", "t1", "text", *_words_of(good)), allowMissingColumns=True))
+
+
+def _words_of(segments: DataFrame) -> list[str]:
+    """The column of words, where there is one."""
+    return [c for c in ("words",) if c in segments.columns]
 
 
 def gaps(segments: DataFrame, audio_end: DataFrame | None = None, least: int = GAP_MIN_CS) -> DataFrame:
@@ -129,8 +164,9 @@ def gaps(segments: DataFrame, audio_end: DataFrame | None = None, least: int = G
 
 def unpunctuated_runs(segments: DataFrame, least: int = UNPUNCTUATED_MIN_CS) -> DataFrame:
     """(interview_id, first_pos, last_pos, n, span_cs): consecutive rows without punctuation that span least cs, last end less first start by position."""
-    flagged = lagged(segments.withColumn("_p", has_punctuation("text")), {"_was": F.col("_p")})
-    grouped = counted(flagged, F.col("is_first") | (F.col("_p") != F.col("_was")), "_run").where(~F.col("_p")).groupBy("interview_id", "_run")
+    # rows without punctuation between the same two with it have the same count of those
+    marked = counted(segments.withColumn("_p", has_punctuation("text")), F.col("_p"), "_run")
+    grouped = marked.where(~F.col("_p")).groupBy("interview_id", "_run")
     runs = grouped.agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count("*").alias("n"), (F.max_by("t1", "pos") - F.min_by("t0", "pos")).alias("span_cs"))
     return runs.where(F.col("span_cs") >= least).drop("_run")
 
@@ -148,29 +184,38 @@ def retry_accepted(n: Column, punctuated: Column, retry_words: Column, old_words
 def spliced(segments: DataFrame, ranges: DataFrame, retries: DataFrame) -> DataFrame:
     """M2: rows of each range (interview_id, run_id, first_pos, last_pos) replaced by the retry rows of its run_id, renumbered."""
     covered = ranges.select("interview_id", F.explode(F.sequence("first_pos", "last_pos")).alias("pos"))
-    keep = segments.join(covered, ["interview_id", "pos"], "left_anti").select("interview_id", F.struct(F.col("pos").cast("bigint").alias("p"), F.lit(-1).cast("bigint").alias("q")).alias("_k"), "t0", "t1", "text")
+    kept = ["t0", "t1", "text", *_words_of(segments)]
+    keep = segments.join(covered, ["interview_id", "pos"], "left_anti").select("interview_id", F.col("pos").cast("bigint").alias("p"), F.lit(-1).cast("bigint").alias("q"), *kept)
     new = retries.join(ranges.select("interview_id", "run_id", "first_pos"), ["interview_id", "run_id"])
-    new = new.select("interview_id", F.struct(F.col("first_pos").cast("bigint").alias("p"), F.col("pos").cast("bigint").alias("q")).alias("_k"), "t0", "t1", "text")
-    both = keep.unionByName(new).withColumn("_order", F.col("_k.p") * F.lit(2**24) + F.col("_k.q") + 1)
-    return renumbered(both, "pos", order="_order", bits=36).select("interview_id", F.col("pos").cast("int").alias("pos"), "t0", "t1", "text")
+    new = new.select("interview_id", F.col("first_pos").cast("bigint").alias("p"), F.col("pos").cast("bigint").alias("q"), "t0", "t1", "text", *_words_of(retries))
+    both = keep.unionByName(new, allowMissingColumns=True)
+    return renumbered(both, "pos", order=["p", "q"]).select("interview_id", F.col("pos").cast("int").alias("pos"), *kept)
 
 
-def judged_retries(retries: DataFrame, prompt: str = STYLE_PROMPT) -> DataFrame:
-    """Retry rows (interview_id, run_id, pos, t0, t1, text) less those with a drop reason (Q5), and has_loop, whether what is left of their run has a loop (F1).
-
-    Each run is judged alone: blank rows, which are like no other row, stand between the runs.
-    """
-    rows = retries.select("interview_id", "run_id", F.col("pos").cast("bigint").alias("_at"), "t0", "t1", "text")
+def _apart(retries: DataFrame) -> DataFrame:
+    """Rows (interview_id, run_id, pos, …) of all runs of an interview in one order, pos as _at: blank rows, which are like no other row, stand between the runs."""
     blank = [F.lit(k - NEIGHBOURS).cast("bigint") for k in range(NEIGHBOURS)]
+    rows = retries.withColumn("_at", F.col("pos").cast("bigint")).drop("pos")
     between = rows.select("interview_id", "run_id").distinct().select("*", F.explode(F.array(*blank)).alias("_at"))
-    apart = rows.unionByName(between.withColumn("text", F.lit("")), allowMissingColumns=True)
-    order = F.col("run_id").cast("bigint") * F.lit(2**24) + F.col("_at") + NEIGHBOURS  # positions and run_id below 2**24
-    dense = checkpointed(renumbered(apart.withColumn("_order", order), "pos", order="_order", bits=36).drop("_order"))
-    kept = checkpointed(with_drop_reason(dense, prompt).where("reason is null").drop("reason"))
-    starts = repeat_runs(kept).select("interview_id", F.col("first_pos").alias("pos"))
-    loops = kept.join(starts, ["interview_id", "pos"]).select("interview_id", "run_id", F.lit(True).alias("has_loop")).distinct()
-    judged = kept.where("_at >= 0").join(loops, ["interview_id", "run_id"], "left")
-    return judged.select("interview_id", "run_id", F.col("_at").alias("pos"), "t0", "t1", "text", F.coalesce("has_loop", F.lit(False)).alias("has_loop"))
+    both = rows.unionByName(between.withColumn("text", F.lit("")), allowMissingColumns=True)
+    return renumbered(both, "pos", order=["run_id", "_at"])
+
+
+def _looped(apart: DataFrame) -> DataFrame:
+    starts = repeat_runs(apart).select("interview_id", F.col("first_pos").alias("pos"))
+    loops = apart.join(starts, ["interview_id", "pos"]).select("interview_id", "run_id", F.lit(True).alias("has_loop")).distinct()
+    judged = apart.where("_at >= 0").join(loops, ["interview_id", "run_id"], "left").withColumn("has_loop", F.coalesce("has_loop", F.lit(False)))
+    return judged.drop("pos").withColumnRenamed("_at", "pos")
+
+
+def with_loops(retries: DataFrame) -> DataFrame:
+    """Rows (interview_id, run_id, pos from 0, t0, t1, text) with has_loop, whether their run, taken alone, has a loop (F1)."""
+    return _looped(checkpointed(_apart(retries)))
+
+
+def judged_retries(retries: DataFrame, prompt: str = STYLE_PROMPT) -> DataFrame:
+    """Retry rows (interview_id, run_id, pos from 0, t0, t1, text) less those with a drop reason (Q5), and has_loop, whether what is left of their run has a loop (F1); each run is judged alone."""
+    return _looped(checkpointed(with_drop_reason(checkpointed(_apart(retries)), prompt).where("reason is null").drop("reason")))
 
 
 def repaired(segments: DataFrame, ranges: DataFrame, retries: DataFrame, prompt: str = STYLE_PROMPT) -> DataFrame:
@@ -192,14 +237,25 @@ def accepted_recovered(recovered: DataFrame, prompt: str = STYLE_PROMPT) -> Data
 
 def with_recovered(segments: DataFrame, recovered: DataFrame) -> DataFrame:
     """Recovered rows put in by start, originals first on ties, then by position; renumbered."""
-    rows = segments.withColumn("_source", F.lit(0)).unionByName(recovered.withColumn("_source", F.lit(1)))
-    order = ((F.col("t0").cast("bigint") * 2 + F.col("_source")) * F.lit(2**24)) + F.col("pos")  # positions below 2**24
-    numbered = renumbered(rows.withColumn("_order", order).drop("pos"), "pos", order="_order", bits=42)
-    return numbered.withColumn("pos", F.col("pos").cast("int")).drop("_source", "_order")
+    rows = segments.withColumn("_source", F.lit(0)).unionByName(recovered.withColumn("_source", F.lit(1)), allowMissingColumns=True)
+    dense = renumbered(rows.withColumnRenamed("pos", "_old"), "pos", order=["t0", "_source", "_old"], bits=TIME_BITS)
+    return dense.withColumn("pos", F.col("pos").cast("int")).drop("_source", "_old")
 
 
-def cleaned(segments: DataFrame, prompt: str = STYLE_PROMPT) -> DataFrame:
-    """Q9 without retries: loops replaced, hallucinations dropped, times in ms, positions renumbered."""
-    kept = with_drop_reason(checkpointed(loops_replaced(checkpointed(segments))), prompt).where("reason is null")
-    dense = renumbered(kept.withColumnRenamed("pos", "_old"), "pos", order="_old")
-    return dense.select("interview_id", F.col("pos").cast("int").alias("pos"), (F.col("t0") * 10).alias("start_ms"), (F.col("t1") * 10).alias("end_ms"), "text")
+def cleaned(segments: DataFrame, prompt: str = STYLE_PROMPT, loop_retries: DataFrame | None = None, stretch_retries: DataFrame | None = None, recovered: DataFrame | None = None) -> DataFrame:
+    """Q9: (interview_id, pos, start_ms, end_ms, text and words, if there are): loops (Q6), hallucinations (Q5), unpunctuated stretches (Q7), gaps (Q8), then times in ms.
+
+    The recogniser's second attempts are tables, none where left out: loop_retries and
+    stretch_retries with the first pos of their loop or stretch as run_id, at the positions of
+    the step they belong to, and recovered rows of gaps, a run_id for each.
+    """
+    rows = checkpointed(loops_replaced(checkpointed(segments), loop_retries))
+    rows = with_drop_reason(rows, prompt).where("reason is null").drop("reason")
+    rows = renumbered(rows.withColumnRenamed("pos", "_old"), "pos", order="_old").drop("_old").withColumn("pos", F.col("pos").cast("int"))
+    if stretch_retries is not None:
+        rows = checkpointed(rows)
+        ranges = checkpointed(unpunctuated_runs(rows).withColumn("run_id", F.col("first_pos")))
+        rows = repaired(rows, ranges, stretch_retries.join(ranges.select("interview_id", "run_id"), ["interview_id", "run_id"], "left_semi"), prompt)
+    if recovered is not None:
+        rows = with_recovered(rows, accepted_recovered(recovered, prompt))
+    return rows.select("interview_id", "pos", (F.col("t0") * 10).alias("start_ms"), (F.col("t1") * 10).alias("end_ms"), "text", *_words_of(rows))

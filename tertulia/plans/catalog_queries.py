@@ -8,6 +8,8 @@ from tertulia.functions import formats
 from tertulia.operators import catalog
 from tertulia.plans import views
 from tertulia.plans.views import INTERVIEWS_SQL, JOBS_SQL
+from tertulia.session import shared_folder
+from tertulia.streaming import jobs as stream_jobs
 
 QUERIES, ORACLES = {}, {}
 
@@ -118,9 +120,68 @@ def m6(spark, d):
     return catalog.removed(views.jobs(spark, d), gone).select("id", "interview_id")
 
 
-@query("m8_truncate", "SELECT id FROM interview_jobs WHERE false")
+@query("m8_truncate", f"WITH {JOBS_SQL} SELECT 'interviews' AS name, 0 AS n UNION ALL SELECT 'interview_jobs', count(*) FROM j")
 def m8(spark, d):
-    return catalog.truncated(views.jobs(spark, d)).select("id")
+    """Rows after a truncation, which covers interviews but not jobs."""
+    count = lambda df, name: df.agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+    return count(catalog.truncated(views.interviews(spark, d)), "interviews").unionByName(count(views.jobs(spark, d), "interview_jobs"))
+
+
+@query("m7_audio_replaced", f"""WITH {INTERVIEWS_SQL}, {JOBS_SQL}, a AS (SELECT interview_id, max(raw_transcript_path) AS p FROM j WHERE raw_transcript_path IS NOT NULL GROUP BY 1),
+n AS (SELECT DISTINCT interview_id + 4 AS id FROM j WHERE interview_id % 2 = 0), q AS (SELECT n.id, CASE WHEN n.id NOT IN (SELECT id FROM i) THEN 'not_found' WHEN n.id IN (SELECT interview_id FROM j WHERE status IN ('pending', 'running')) THEN 'busy' ELSE 'ok' END AS outcome FROM n)
+SELECT q.id AS interview_id, outcome, CASE WHEN outcome = 'ok' THEN a.p END AS replaced_path, CASE WHEN outcome = 'ok' THEN 'pending_processing' ELSE i.status END AS status, CASE WHEN outcome = 'ok' THEN 'nuevo/' || q.id || '.wav' ELSE a.p END AS audio_path, a.p IS NOT NULL AND outcome <> 'ok' AS has_result
+FROM q LEFT JOIN i ON i.id = q.id LEFT JOIN a ON a.interview_id = q.id""")
+def m7(spark, d):
+    """New audio for the interviews after every other one with a job: what became of it, of the old file, the status and the result."""
+    jobs, old = views.jobs(spark, d), _audio(spark, d)
+    audio = old.select("interview_id", F.col("p").alias("interview_audio_path"), F.lit("wav").alias("interview_audio_format"), F.lit(1).cast("bigint").alias("interview_audio_size"))
+    ids = jobs.where("interview_id % 2 = 0").select((F.col("interview_id") + 4).alias("interview_id")).distinct()
+    new = ids.select("interview_id", F.concat(F.lit("nuevo/"), "interview_id", F.lit(".wav")).alias("interview_audio_path"), F.lit("wav").alias("interview_audio_format"), F.lit(2).cast("bigint").alias("interview_audio_size"))
+    found, put, results, outcomes = catalog.audio_replaced(views.interviews(spark, d), audio, old.select("interview_id"), jobs, new)
+    joined = outcomes.join(found.select(F.col("id").alias("interview_id"), "status"), "interview_id", "left").join(put.select("interview_id", F.col("interview_audio_path").alias("audio_path")), "interview_id", "left")
+    return joined.join(results.select("interview_id", F.lit(True).alias("_r")), "interview_id", "left").select("interview_id", "outcome", "replaced_path", "status", "audio_path", F.coalesce("_r", F.lit(False)).alias("has_result"))
+
+
+@query("w16_optional_steps", f"""WITH {JOBS_SQL}, st(ordinal, step) AS (VALUES (0, 'normalizando_audio'), (1, 'transcribiendo'), (2, 'diarizando'), (3, 'aplicando_glosario'), (4, 'corrigiendo_texto'), (5, 'anonimizando'), (6, 'generando_resumen')),
+c AS (SELECT interview_id, arg_max(current_step, id) AS cs FROM j WHERE status = 'running' GROUP BY 1), n AS (SELECT c.interview_id, coalesce(st.ordinal, -1) AS o FROM c LEFT JOIN st ON st.step = c.cs),
+k AS (SELECT interview_id, count(*) AS n FROM glossary_changes WHERE interview_id % 3 <> 1 GROUP BY 1),
+x AS (SELECT interview_id, step, ordinal, o, CASE WHEN ordinal = o OR ordinal < 3 THEN true WHEN ordinal = 3 THEN interview_id IN (SELECT interview_id FROM k) WHEN ordinal = 6 THEN CASE WHEN interview_id % 4 <> 0 THEN interview_id % 2 = 0 END
+WHEN o IN (4, 5) THEN true WHEN interview_id % 4 <> 0 THEN interview_id % 3 = 0 END AS shown FROM n, st)
+SELECT interview_id, step, ordinal, CASE WHEN shown IS NULL THEN 'optional' WHEN ordinal < o THEN 'done' WHEN ordinal = o THEN 'current' ELSE 'pending' END AS state FROM x WHERE coalesce(shown, true)""")
+def w16_optional(spark, d):
+    """The steps of running jobs, some without terms, and some without a known choice."""
+    jobs, n = views.jobs(spark, d), F.col("interview_id")
+    terms = views.table(spark, d, "glossary_changes").where("interview_id % 3 <> 1").groupBy("interview_id").agg(F.count("*").alias("n_keywords"))
+    options = jobs.select("interview_id").distinct().where("interview_id % 4 <> 0").select("interview_id", (n % 2 == 0).alias("include_summary"), (n % 3 == 0).alias("enhance"))
+    return catalog.step_views(jobs, terms, options)
+
+
+@query("p11_p12_chosen_files", f"""WITH {JOBS_SQL}, f AS (SELECT id, CASE id % 6 WHEN 0 THEN 'a.b.MP4' WHEN 1 THEN 'x.wav' WHEN 2 THEN 'x.txt' WHEN 3 THEN 'mp3' WHEN 4 THEN 'nada' ELSE '.m4a' END AS name, CASE WHEN id % 5 = 0 THEN 1073741825 ELSE 1073741824 END AS size FROM j)
+SELECT id, CASE id % 6 WHEN 2 THEN 'type' WHEN 4 THEN 'type' ELSE CASE WHEN size > 1073741824 THEN 'size' END END AS fault, id % 6 = 0 AS video FROM f""")
+def p12(spark, d):
+    k = F.col("id") % 6
+    name = F.when(k == 0, "a.b.MP4").when(k == 1, "x.wav").when(k == 2, "x.txt").when(k == 3, "mp3").when(k == 4, "nada").otherwise(".m4a")
+    size = F.when(F.col("id") % 5 == 0, F.lit(1024**3 + 1)).otherwise(F.lit(1024**3))
+    return views.jobs(spark, d).select("id", catalog.client_fault(name, size).alias("fault"), catalog.is_video(formats.extension(name)).alias("video"))
+
+
+@query("r1_r2_r3_job_stream", f"""WITH {JOBS_SQL} SELECT id AS job_id, interview_id, CASE status WHEN 'pending' THEN 1 WHEN 'running' THEN 3 ELSE 4 END AS n_states, status, CASE WHEN status = 'running' THEN 'diarizando' END AS step,
+CASE status WHEN 'pending' THEN 'pending_processing' WHEN 'running' THEN 'processing' ELSE status END AS interview_status FROM j""")
+def r1(spark, d):
+    """The events of all jobs, read as a stream of files and driven through the states; the last state of each, and how many it had."""
+    jobs = views.jobs(spark, d)
+    final = F.when(F.col("status") == "completed", "complete").when(F.col("status") == "failed", "fail")
+    events = F.array(F.lit("enqueue"), F.lit("start"), F.lit("step"), final, F.lit("start"))
+    upto = F.when(F.col("status") == "pending", 1).when(F.col("status") == "running", 3).otherwise(5)
+    each = jobs.select(F.col("id").alias("job_id"), "interview_id", F.posexplode(F.slice(events, F.lit(1), upto)).alias("k", "event"))
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("k"))
+    rows = each.select("job_id", "interview_id", "event", F.when(F.col("event") == "step", "diarizando").alias("step"), at.alias("at"))
+    folder, states, kept = (shared_folder(spark, x) for x in ("events", "states", "stream"))
+    rows.write.json(folder)
+    entered = stream_jobs.job_states(stream_jobs.event_stream(spark, folder))
+    stream_jobs.run_queue(entered, lambda batch, n: batch.write.mode("overwrite").parquet(f"{states}/batch={n}"), kept).awaitTermination()
+    last = F.max(F.struct("at", "status", "step", "interview_status", "interview_id")).alias("_l")
+    return spark.read.parquet(states).groupBy("job_id").agg(F.count("*").alias("n_states"), last).select("job_id", "_l.interview_id", "n_states", "_l.status", "_l.step", "_l.interview_status")
 
 
 @query("m3_append", f"WITH {JOBS_SQL}, n AS (SELECT interview_id, 'pending' AS status, row_number() OVER (ORDER BY interview_id) AS k FROM (SELECT DISTINCT interview_id FROM j WHERE status = 'failed')) SELECT id, interview_id, status FROM j UNION ALL SELECT CAST((SELECT max(id) FROM j) + k AS INT), interview_id, status FROM n")
@@ -196,13 +257,18 @@ def p7(spark, d):
     return views.jobs(spark, d).select("id", catalog.process_options(body).alias("o")).select("id", "o.*")
 
 
-@query("p10_upload_guard", f"""WITH {JOBS_SQL}, u AS (SELECT id, CASE WHEN id % 5 = 0 THEN 2147483648 ELSE id * 1000 END AS size, CASE WHEN id % 7 = 0 THEN 'text/plain' ELSE 'audio/wav' END AS mime, id % 3 <> 0 AS ok FROM j)
-SELECT id, CASE WHEN size > 1073741824 THEN 'size' WHEN mime <> 'audio/wav' THEN 'type' WHEN NOT ok THEN 'content' END AS fault FROM u""")
+# First bytes of eight kinds of file and the type each is declared to be.
+_HEADS = [("524946460000000057415645", "audio/wav"), ("524946460000000041564920", "audio/wav"), ("4F6767530000000000000000", "audio/ogg"), ("494433040000000000000000", "audio/mpeg"), ("FFFB90640000000000000000", "audio/mpeg"), ("00000018667479706D703432", "video/mp4"), ("4F6767530000000000000000", "audio/mpeg"), ("494433040000000000000000", "text/plain")]
+_MIMES = ["audio/wav", "audio/ogg", "audio/mpeg", "video/mp4"]
+
+
+@query("p10_upload_guard", f"""WITH {JOBS_SQL} SELECT id, CASE WHEN id % 5 = 0 THEN 'size' WHEN id % 8 = 7 THEN 'type' WHEN id % 8 IN (1, 6) THEN 'content' END AS fault FROM j""")
 def p10(spark, d):
+    """Eight kinds of upload: a good one of each signature, a wrong container, a wrong type, one that is not taken; every fifth too large."""
+    pick = lambda n: F.element_at(F.array(*(F.lit(h[n]) for h in _HEADS)), (F.col("id") % 8 + 1).cast("int"))
     size = F.when(F.col("id") % 5 == 0, F.lit(2147483648)).otherwise(F.col("id") * 1000)
-    mime = F.when(F.col("id") % 7 == 0, "text/plain").otherwise("audio/wav")
-    head = F.when(F.col("id") % 3 == 0, F.encode(F.lit("OggSxxxxxxxx"), "UTF-8")).otherwise(F.encode(F.lit("RIFF0000WAVE"), "UTF-8"))
-    return views.jobs(spark, d).select("id", catalog.upload_fault(F.lit("a.wav"), size, mime, formats.known_type(head, mime), ["audio/wav"]).alias("fault"))
+    head, mime = F.unhex(pick(0)), pick(1)
+    return views.jobs(spark, d).select("id", catalog.upload_fault(F.lit("a.wav"), size, mime, formats.known_type(head, mime), _MIMES).alias("fault"))
 
 
 @query("r3_status_rank", f"WITH {JOBS_SQL} SELECT id, CASE status WHEN 'pending' THEN 1 WHEN 'running' THEN 2 WHEN 'completed' THEN 3 WHEN 'failed' THEN 4 ELSE 0 END AS rank FROM j")

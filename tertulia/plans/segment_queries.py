@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tertulia.functions import formats, text
 from tertulia.operators import quality, speakers
-from tertulia.plans import views
+from tertulia.plans import segment_sql, views
 from tertulia.plans.views import SEGMENTS_SQL, TURNS_SQL, VOICES_SQL
 from tertulia.session import checkpointed
 
@@ -23,19 +23,8 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def _low(x: str) -> str:
-    return f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
-
-def _norm(x: str) -> str:
-    return _low(f"regexp_replace({x}, '[^0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]', '', 'g')")
-
-
-def _fold(x: str) -> str:
-    return f"replace(replace(translate({x}, 'áéíóúüñ', 'aeiouun'), '¿', ''), '¡', '')"
-
-
-PLAIN = _fold(_norm("text"))
+_low, _norm = segment_sql.low, segment_sql.norm
+PLAIN = segment_sql.plain("text")
 _CHANGES = "c AS (SELECT DISTINCT interview_id, line, original, term FROM glossary_changes)"
 
 
@@ -58,9 +47,9 @@ def t4(spark, d):
     return views.turns(spark, d).select("interview_id", "pos", text.normalized("text").alias("normalized"), quality.plain("text").alias("plain"))
 
 
-@query("t6_words", f"WITH {TURNS_SQL} SELECT interview_id, pos, len(list_filter(string_split_regex({_low('text')}, '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), lambda x: x <> '')) AS n_words FROM t")
+@query("t6_words", f"WITH {TURNS_SQL} SELECT interview_id, pos, array_to_string(list_transform(list_filter(string_split_regex({_low('text')}, '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), lambda x: x <> ''), lambda x: {segment_sql.fold('x')}), ' ') AS words FROM t")
 def t6(spark, d):
-    return views.turns(spark, d).select("interview_id", "pos", F.size(text.words("text")).alias("n_words"))
+    return views.turns(spark, d).select("interview_id", "pos", F.array_join(text.words("text"), " ").alias("words"))
 
 
 @query("t7_t12_marks", f"""WITH {TURNS_SQL} SELECT interview_id, pos, length(text) AS n_chars, strlen(text) AS n_bytes, regexp_matches(text, '[.,?!¿]') AS punctuated, right(text, 1) IN ('.', '?', '!') AS ends,
@@ -70,14 +59,18 @@ def t7(spark, d):
     return views.turns(spark, d).select("interview_id", "pos", F.char_length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"), text.has_punctuation("text").alias("punctuated"), ends(".?!").alias("ends"), ends(".?!:").alias("ends_paragraph"), text.is_question("text").alias("question"))
 
 
-@query("t8_common_substring")
+@query("t8_common_substring", f"WITH {SEGMENTS_SQL}, {segment_sql.stretches(quality.STYLE_PROMPT)}, p AS (SELECT interview_id, pos, {PLAIN} AS p FROM s) SELECT interview_id, pos, CAST(coalesce(max(l), 0) AS INT) AS n_bytes FROM p LEFT JOIN sub ON contains(p.p, sub.x) GROUP BY 1, 2")
 def t8(spark, d):
     return views.segments(spark, d).select("interview_id", "pos", text.common_substring(quality.plain("text"), quality.plain(F.lit(quality.STYLE_PROMPT))).alias("n_bytes"))
 
 
-@query("t13_valid_utf8", f"WITH {TURNS_SQL} SELECT interview_id, pos, text FROM t")
+@query("t13_valid_utf8", f"""WITH {TURNS_SQL}, h AS (SELECT interview_id, pos, text, pos % 4 AS k FROM t)
+SELECT interview_id, pos, CASE k WHEN 0 THEN text || chr(65533) WHEN 1 THEN chr(65533) || chr(65533) || text || 'ñ' WHEN 2 THEN 'a' || chr(65533) || 'b' || text ELSE text END AS text FROM h""")
 def t13(spark, d):
-    return views.turns(spark, d).select("interview_id", "pos", F.make_valid_utf8("text").alias("text"))
+    """Turns as bytes, spoilt: a sequence cut off at the end, bytes that begin none, a sequence with a wrong last byte, and left whole."""
+    k, raw, byte = F.col("pos") % 4, F.encode("text", "UTF-8"), lambda x: F.unhex(F.lit(x))
+    spoilt = F.when(k == 0, F.concat(raw, byte("C3"))).when(k == 1, F.concat(byte("80FF"), raw, byte("C3B1"))).when(k == 2, F.concat(byte("61E28261"), byte("62"), raw)).otherwise(raw)
+    return views.turns(spark, d).select("interview_id", "pos", text.valid_text(spoilt).alias("text"))
 
 
 @query("t14_t15_lines", "SELECT doc_id, trim(replace(replace(text, chr(10), ' '), chr(13), ' '), ' ' || chr(9) || chr(13) || chr(10)) AS line, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(10)) <> '')) AS n_lines FROM documents WHERE text IS NOT NULL")
@@ -106,7 +99,7 @@ def x10(spark, d):
     return _changes(spark, d).where("original is not null and term is not null").select("interview_id", "line", formats.plausible_correction("original", "term").alias("plausible"))
 
 
-_KNOWN = f"""(({" OR ".join(f"contains({PLAIN}, '{p}')" for p in quality.HALLUCINATION_PARTS)}) OR ({PLAIN} IN ({", ".join(f"'{p}'" for p in quality.HALLUCINATION_PHRASES)}) AND t1 - t0 <= 300))"""
+_KNOWN = segment_sql.known()
 _DENSE = "(length(text) * 100 > greatest(t1 - t0, 0) * 35 + 1000)"
 _NEAR = f"""n AS (SELECT *, {_norm("text")} AS m FROM s), r AS (SELECT a.interview_id, a.pos, bool_or(b.m <> '' AND a.m <> '' AND (contains(b.m, a.m) OR contains(a.m, b.m))) AS rep FROM n a JOIN n b ON a.interview_id = b.interview_id AND b.pos BETWEEN a.pos - 3 AND a.pos + 3 AND a.pos <> b.pos GROUP BY 1, 2)"""
 
@@ -131,14 +124,18 @@ def q3(spark, d):
     return quality.with_repeats(views.segments(spark, d)).where(F.col("repeats") & quality.too_dense("text", "t0", "t1")).select("interview_id", "pos")
 
 
-@query("q4_prompt_echo")
+_ECHO_PROMPT = "Cuénteme un poco del trámite. ¿Qué cambió después de la mudanza?"
+
+
+@query("q4_prompt_echo", f"""WITH {SEGMENTS_SQL}, {segment_sql.stretches(_ECHO_PROMPT)}, p AS (SELECT interview_id, pos, text, {PLAIN} AS p FROM s)
+SELECT interview_id, pos, text FROM p JOIN sub ON l >= 25 AND contains(p, x) WHERE strlen(p) >= 25 GROUP BY interview_id, pos, text, p HAVING 2 * max(l) >= strlen(p)""")
 def q4(spark, d):
-    return quality.with_echo(views.segments(spark, d), "Cuénteme un poco del trámite. ¿Qué cambió después de la mudanza?").where("echo").select("interview_id", "pos", "text")
+    return quality.with_echo(views.segments(spark, d), _ECHO_PROMPT).where("echo").select("interview_id", "pos", "text")
 
 
-@query("q5_drop_reasons", f"WITH {SEGMENTS_SQL}, {_NEAR} SELECT s.interview_id, s.pos, CASE WHEN {_KNOWN} THEN 'known' WHEN {_DENSE} AND coalesce(rep, false) THEN 'dense_repeat' END AS reason FROM s LEFT JOIN r USING (interview_id, pos)")
+@query("q5_drop_reasons", f"WITH {SEGMENTS_SQL}, z AS (SELECT *, pos AS k FROM s), {segment_sql.stretches(_ECHO_PROMPT)}, {segment_sql.reasons('z', 'q')} SELECT interview_id, pos, reason FROM q")
 def q5(spark, d):
-    return quality.with_drop_reason(views.segments(spark, d)).select("interview_id", "pos", "reason")
+    return quality.with_drop_reason(views.segments(spark, d), _ECHO_PROMPT).select("interview_id", "pos", "reason")
 
 
 @query("w5_gaps", f"WITH {SEGMENTS_SQL}, g AS (SELECT interview_id, t0, coalesce(max(t1) OVER (PARTITION BY interview_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach FROM s) SELECT interview_id, reach AS gap_start, t0 AS gap_end FROM g WHERE t0 - reach >= 800")
@@ -158,23 +155,42 @@ def a8(spark, d):
     return quality.word_counts(views.segments(spark, d))
 
 
-@query("f1_loops")
+_INDEXED = f"{SEGMENTS_SQL}, z AS MATERIALIZED (SELECT *, pos AS k FROM s)"
+_LOOPS = f"{_INDEXED}, {segment_sql.runs('z', 'lp')}"
+
+
+@query("f1_loops", f"WITH RECURSIVE {_LOOPS} SELECT * FROM lp")
 def f1(spark, d):
     return quality.repeat_runs(views.segments(spark, d))
 
 
-@query("f2_loop_markers")
+_LOOP_RANGES = "lg AS MATERIALIZED (SELECT interview_id, first_pos AS run_id, first_pos, last_pos FROM lp)"
+
+
+@query("f2_loop_markers", f"WITH RECURSIVE {_LOOPS}, {_LOOP_RANGES}, {segment_sql.marked('s', 'lg', 'mk')}, {segment_sql.spliced('s', 'lg', 'mk', 'f')} SELECT * FROM f")
 def f2(spark, d):
-    return quality.loops_replaced(views.segments(spark, d))
+    return quality.loops_replaced(checkpointed(views.segments(spark, d)))
+
 
+def _full_stops(segments, ranges):
+    """A second attempt at each unpunctuated stretch: its rows with a full stop."""
+    rows = segments.join(ranges.select("interview_id", "run_id", "first_pos", "last_pos"), "interview_id").where("pos between first_pos and last_pos")
+    return rows.select("interview_id", "run_id", (F.col("pos") - F.col("first_pos")).alias("pos"), "t0", "t1", F.concat("text", F.lit(".")).alias("text"))
 
-@query("q7_unpunctuated_retry")
+
+def _full_stops_sql(src: str, ranges: str, out: str) -> str:
+    return f"{out} AS MATERIALIZED (SELECT x.interview_id, run_id, x.pos - first_pos AS k, t0, t1, text || '.' AS text FROM {src} x JOIN {ranges} g ON g.interview_id = x.interview_id AND x.pos BETWEEN first_pos AND last_pos)"
+
+
+_STYLE = segment_sql.stretches(quality.STYLE_PROMPT)
+
+
+@query("q7_unpunctuated_retry", f"WITH RECURSIVE {SEGMENTS_SQL}, {_STYLE}, {segment_sql.unpunctuated('s', 'u')}, {_full_stops_sql('s', 'u', 'y')}, {segment_sql.repaired('s', 'u', 'y', 'q')} SELECT * FROM q")
 def q7(spark, d):
     """Each unpunctuated stretch with a retry that has a full stop behind each row, taken where it is accepted."""
     s = checkpointed(views.segments(spark, d))
     ranges = checkpointed(quality.unpunctuated_runs(s).withColumn("run_id", F.col("first_pos")))
-    retry = s.join(ranges.select("interview_id", "run_id", "first_pos", "last_pos"), "interview_id").where("pos between first_pos and last_pos")
-    return quality.repaired(s, ranges, retry.select("interview_id", "run_id", "pos", "t0", "t1", F.concat("text", F.lit(".")).alias("text")))
+    return quality.repaired(s, ranges, _full_stops(s, ranges))
 
 
 @query("m1_q8_recovered", f"""WITH {SEGMENTS_SQL}, n AS (SELECT interview_id, pos, t0 + 1 AS t0, t1, 'recuperado' AS text, 1 AS src FROM s WHERE pos % 10 = 4), u AS (SELECT *, 0 AS src FROM s UNION ALL SELECT * FROM n)
@@ -185,9 +201,28 @@ def m1(spark, d):
     return quality.with_recovered(s, quality.accepted_recovered(recovered))
 
 
-@query("q9_cleaned")
+_Q9_STEP = f"""{_LOOPS}, {_STYLE}, {_LOOP_RANGES},
+rt AS MATERIALIZED (SELECT g.interview_id, g.run_id, u.k, x.t0, x.t1, CASE WHEN u.k = 0 OR g.run_id % 3 = 0 THEN 'Esto se oyó al repetir.' ELSE 'Y esto después, aparte.' END AS text FROM lg g JOIN s x ON x.interview_id = g.interview_id AND x.pos = g.first_pos, (VALUES (0), (1), (2)) u(k) WHERE g.run_id % 3 < 2),
+rl AS (SELECT interview_id, run_id FROM rt WHERE run_id % 3 = 0), {segment_sql.marked("s", "lg", "mk")},
+nw AS MATERIALIZED (SELECT * FROM rt WHERE (interview_id, run_id) NOT IN (SELECT * FROM rl) UNION ALL SELECT * FROM mk WHERE run_id % 3 <> 1), {segment_sql.spliced("s", "lg", "nw", "c1")},
+c1k AS MATERIALIZED (SELECT *, pos AS k FROM c1), {segment_sql.reasons("c1k", "c2")}, c3 AS MATERIALIZED (SELECT interview_id, row_number() OVER (PARTITION BY interview_id ORDER BY pos) - 1 AS pos, t0, t1, text FROM c2 WHERE reason IS NULL)"""
+
+
+@query("q9_cleaned", f"""WITH RECURSIVE {_Q9_STEP}, {segment_sql.unpunctuated("c3", "u")}, {_full_stops_sql("c3", "u", "y")}, {segment_sql.repaired("c3", "u", "y", "c4")},
+gp AS MATERIALIZED (SELECT interview_id, pos AS run_id, 0 AS k, t0 + 1 AS t0, t1, 'recuperado ' || pos AS text FROM s WHERE pos % 10 = 4), {segment_sql.recovered("c4", "gp", "c5")}
+SELECT interview_id, pos, t0 * 10 AS start_ms, t1 * 10 AS end_ms, text FROM c5""")
 def q9(spark, d):
-    return quality.cleaned(views.segments(spark, d))
+    """All steps: of the loops a third is tried again well, a third with another loop, a third not at all; stretches get full stops; every tenth row a recovered one behind it."""
+    s = checkpointed(views.segments(spark, d))
+    loops = quality.repeat_runs(s).where("first_pos % 3 < 2").withColumn("run_id", F.col("first_pos"))
+    first = s.join(loops.select("interview_id", F.col("first_pos").alias("pos"), "run_id"), ["interview_id", "pos"])
+    tried = first.withColumn("k", F.explode(F.array(*map(F.lit, range(3)))))
+    said = F.when((F.col("k") == 0) | (F.col("run_id") % 3 == 0), "Esto se oyó al repetir.").otherwise("Y esto después, aparte.")
+    retries = checkpointed(tried.select("interview_id", "run_id", F.col("k").alias("pos"), "t0", "t1", said.alias("text")))
+    so_far = checkpointed(quality.cleaned(s, loop_retries=retries)).withColumn("t0", F.floor(F.col("start_ms") / 10)).withColumn("t1", F.floor(F.col("end_ms") / 10))
+    ranges = quality.unpunctuated_runs(so_far).withColumn("run_id", F.col("first_pos"))
+    recovered = s.where("pos % 10 = 4").select("interview_id", F.col("pos").alias("run_id"), F.lit(0).alias("pos"), (F.col("t0") + 1).alias("t0"), "t1", F.concat(F.lit("recuperado "), "pos").alias("text"))
+    return quality.cleaned(s, loop_retries=retries, stretch_retries=checkpointed(_full_stops(so_far, ranges)), recovered=recovered)
 
 
 _OVER = f"""{SEGMENTS_SQL}, {VOICES_SQL}, o AS (SELECT s.interview_id, s.pos AS id, d.speaker_id, CAST(sum(least(s.t1 * 10, d.end_ms) - greatest(s.t0 * 10, d.start_ms)) AS BIGINT) AS ms
@@ -246,7 +281,26 @@ def w15(spark, d):
     return s.select("interview_id", "pos", F.posexplode("words").alias("k", "w")).select("interview_id", "pos", "k", "w.start_ms", "w.end_ms", F.col("w.text").alias("word"))
 
 
-@query("f7_f8_pieces")
+@query("q11_words_of_tokens", f"""WITH {SEGMENTS_SQL}, w AS (SELECT interview_id, pos, t0 * 10 AS a, t1 * 10 AS b, list_filter(string_split(text, ' '), lambda x: x <> '') AS ws FROM s), e AS (SELECT *, unnest(range(len(ws))) AS k FROM w)
+SELECT interview_id, pos AS seg, k + 1 AS w, a + CASE WHEN pos % 9 = 0 THEN (b - a) * k // len(ws) ELSE k * 20 * (b - a) // (len(ws) * 20) END AS start_ms, a + CASE WHEN pos % 9 = 0 THEN (b - a) * (k + 1) // len(ws) ELSE (k + 1) * 20 * (b - a) // (len(ws) * 20) END AS end_ms, ws[k + 1] AS text FROM e""")
+def q11(spark, d):
+    """Each word of a segment as one or two tokens of 20 ticks in all, special ones between; every ninth segment without raw times."""
+    s = views.segments(spark, d).where("text <> ''")
+    word = s.select("interview_id", F.col("pos").alias("seg"), (F.col("t0") * 10).alias("start_ms"), (F.col("t1") * 10).alias("end_ms"), F.posexplode(F.filter(F.split("text", " "), lambda w: w != "")).alias("k", "w"))
+    half = F.floor(F.char_length("w") / 2).cast("int")
+    token = lambda p, a, b, x: F.struct(F.lit(p).alias("p"), F.lit(a).alias("a"), F.lit(b).alias("b"), x.alias("text"))
+    parts = F.array(token(0, 0, 0, F.lit("[_TT_7]")), token(1, 0, 9, F.concat(F.lit(" "), F.substring(F.col("w"), F.lit(1), half))), token(2, 9, 20, F.substring(F.col("w"), half + 1, F.char_length("w"))))
+    raw = lambda c: F.when(F.col("seg") % 9 == 0, F.lit(0)).otherwise(F.col("k") * 20 + F.col(c)).cast("bigint")
+    tokens = word.select("*", F.explode(parts).alias("t")).select("interview_id", "seg", (F.col("k") * 3 + F.col("t.p")).alias("pos"), raw("t.a").alias("raw_start"), raw("t.b").alias("raw_end"), "t.text", "start_ms", "end_ms")
+    return speakers.words_of_tokens(tokens).select("interview_id", "seg", F.explode("words").alias("x")).select("interview_id", "seg", "x.*")
+
+
+_SPOKEN = f"""{SEGMENTS_SQL}, {_REASSIGN}, sg AS MATERIALIZED (SELECT interview_id, pos, t0 * 10 AS a, t1 * 10 AS b, text FROM s WHERE text <> ''),
+vc AS MATERIALIZED (SELECT interview_id, start_ms, end_ms, speaker_id, speaker_id AS old FROM k WHERE relevant UNION ALL SELECT interview_id, start_ms, end_ms, speaker_id, old FROM b WHERE r = 1
+UNION ALL SELECT interview_id, start_ms, end_ms, speaker_id, speaker_id AS old FROM k WHERE NOT relevant AND interview_id NOT IN (SELECT interview_id FROM k WHERE relevant)), {segment_sql.PIECES}"""
+
+
+@query("f7_f8_pieces", f"WITH RECURSIVE {_SPOKEN} SELECT * FROM pc")
 def f7(spark, d):
     return speakers.pieces(*_voiced(spark, d))
 
@@ -262,20 +316,14 @@ def _coded(spark, d):
     return views.turns(spark, d).where("end_ms > start_ms and text <> ''").withColumn("speaker_id", code)
 
 
-@query("a7_roles", f"""WITH {TURNS_SQL}, x AS (SELECT interview_id, CASE WHEN speaker = 'interviewer' THEN 1 WHEN speaker = 'subject' THEN 2 ELSE 3 END AS speaker_id, start_ms, end_ms, text FROM t WHERE end_ms > start_ms AND text <> ''),
-c AS (SELECT interview_id, speaker_id, sum(end_ms - start_ms) AS talk, count(*) FILTER (regexp_matches(text, '[?¿]')) / count(*) AS score, min(start_ms) AS first FROM x GROUP BY 1, 2),
-o AS (SELECT *, row_number() OVER (PARTITION BY interview_id ORDER BY score DESC, speaker_id) AS r, count(*) OVER (PARTITION BY interview_id) AS n FROM c),
-a AS (SELECT * FROM o WHERE r = 1 AND n >= 2), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY interview_id ORDER BY talk DESC, r) AS q FROM o WHERE r > 1) WHERE q = 1),
-p AS (SELECT a.interview_id, abs(a.score - b.score) < 0.05 AND (b.talk < a.talk OR (b.talk = a.talk AND b.first < a.first)) AS swap, a.speaker_id AS sa, b.speaker_id AS sb, a.score AS ca, b.score AS cb FROM a JOIN b USING (interview_id)),
-f AS (SELECT interview_id, CASE WHEN swap THEN sb ELSE sa END AS i, CASE WHEN swap THEN sa ELSE sb END AS u, CASE WHEN swap THEN cb ELSE ca END AS ci, CASE WHEN swap THEN ca ELSE cb END AS cu FROM p)
-SELECT c.interview_id, c.speaker_id, CASE WHEN c.speaker_id = i THEN 'interviewer' WHEN c.speaker_id = u THEN 'subject' WHEN abs(c.score - ci) < abs(c.score - cu) THEN 'interviewer' ELSE 'subject' END AS role FROM c JOIN f USING (interview_id)""")
+@query("a7_roles", f"""WITH {TURNS_SQL}, x AS (SELECT interview_id, CASE WHEN speaker = 'interviewer' THEN 1 WHEN speaker = 'subject' THEN 2 ELSE 3 END AS speaker_id, start_ms, end_ms, text FROM t WHERE end_ms > start_ms AND text <> ''), {segment_sql.roles("x", "f")} SELECT * FROM f""")
 def a7(spark, d):
     code = F.when(F.col("speaker") == "interviewer", 1).when(F.col("speaker") == "subject", 2).otherwise(3)
     parts = views.turns(spark, d).where("end_ms > start_ms and text <> ''").withColumn("speaker_id", code)
     return speakers.elected_roles(speakers.cluster_stats(parts))
 
 
-@query("assign_speakers")
+@query("assign_speakers", f"WITH RECURSIVE {_SPOKEN}, {segment_sql.roles('pc', 'rr')} SELECT interview_id, pos, piece, start_ms, end_ms, role AS speaker, text FROM pc LEFT JOIN rr USING (interview_id, speaker_id)")
 def assign(spark, d):
     return speakers.assigned(*_voiced(spark, d))
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tertulia.functions.text import trim
 from tertulia.operators.catalog import current_interviews
-from tertulia.operators.ordered import lagged, renumbered
+from tertulia.operators.ordered import numbered
 
 LOOP = "Entonces seguimos con el formulario de ingreso."
 
@@ -38,13 +38,15 @@ def role(speaker: Column) -> Column:
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "turns").groupBy("interview_id", "pos").agg(F.min("start_ms").alias("start_ms"), F.min("end_ms").alias("end_ms"), role(F.min("speaker")).alias("speaker"), trim(F.min("text")).alias("text"))
-    return t.withColumn("text", F.coalesce("text", F.lit("")))
+    """Each delivered turn once: of several deliveries the least row, nulls first."""
+    least = F.min(F.struct("start_ms", "end_ms", "speaker", "text"))
+    t = table(spark, sf_dir, "turns").groupBy("interview_id", "pos").agg(least.alias("_t")).select("interview_id", "pos", "_t.*")
+    return t.withColumn("speaker", role(F.col("speaker"))).withColumn("text", F.coalesce(trim("text"), F.lit("")))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     valid = turns(spark, sf_dir).where("text <> '' and end_ms > start_ms").select("interview_id", F.col("pos").alias("_old"), F.floor(F.col("start_ms") / 10).alias("t0"), F.floor(F.col("end_ms") / 10).alias("t1"), "text")
-    dense = lagged(renumbered(valid, "pos", order="_old"), {"_before": F.col("text")})
+    dense = numbered(valid, "pos", {"_before": F.col("text")}, order="_old")
     p = F.col("pos")
     bare = F.regexp_replace("text", "[.,?!¿]", "")
     text = (
@@ -69,8 +71,8 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TRIM = "' ' || chr(9) || chr(13) || chr(10)"
 INTERVIEWS_SQL = "i AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, status) AS rn FROM interviews) WHERE rn = 1)"
 JOBS_SQL = "j AS (SELECT DISTINCT * FROM interview_jobs)"
-TURNS_SQL = f"""t AS (SELECT interview_id, pos, min(start_ms) AS start_ms, min(end_ms) AS end_ms,
-  CASE WHEN lower(trim(min(speaker))) IN ('interviewer', 'subject') THEN lower(trim(min(speaker))) END AS speaker, coalesce(trim(min(text), {_TRIM}), '') AS text FROM turns GROUP BY 1, 2)"""
+TURNS_SQL = f"""t0 AS (SELECT *, row_number() OVER (PARTITION BY interview_id, pos ORDER BY start_ms NULLS FIRST, end_ms NULLS FIRST, speaker NULLS FIRST, text NULLS FIRST) AS nth FROM turns),
+t AS (SELECT interview_id, pos, start_ms, end_ms, CASE WHEN lower(trim(speaker)) IN ('interviewer', 'subject') THEN lower(trim(speaker)) END AS speaker, coalesce(trim(text, {_TRIM}), '') AS text FROM t0 WHERE nth = 1)"""
 SEGMENTS_SQL = f"""{TURNS_SQL},
 s0 AS (SELECT interview_id, row_number() OVER (PARTITION BY interview_id ORDER BY pos) - 1 AS pos, start_ms // 10 AS t0, end_ms // 10 AS t1, text FROM t WHERE text <> '' AND end_ms > start_ms),
 s1 AS (SELECT *, lag(text) OVER (PARTITION BY interview_id ORDER BY pos) AS b FROM s0),

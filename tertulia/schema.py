@@ -10,6 +10,7 @@ RAW_SEGMENTS = f"interview_id INT, pos INT, t0 BIGINT, t1 BIGINT, text STRING, w
 SPEAKER_TURNS = "interview_id INT, start_ms BIGINT, end_ms BIGINT, speaker_id INT"
 TURNS = "interview_id INT, pos INT, start_ms BIGINT, end_ms BIGINT, speaker STRING, text STRING"
 TRANSCRIPT_JSON = "version INT, speaker_source STRING, notice STRING, turns ARRAY<STRUCT<start_ms: BIGINT, end_ms: BIGINT, speaker: STRING, text: STRING>>"
+DOCUMENT_JSON = "id INT, has_speakers BOOLEAN, has_timestamps BOOLEAN, speaker_source STRING, edited BOOLEAN, notice STRING, summary STRING, speakers ARRAY<STRUCT<key: STRING, label: STRING>>, blocks ARRAY<STRUCT<speaker: STRING, start: DOUBLE, end: DOUBLE, text: STRING>>"
 
 # Domains of status, role, source and step columns, steps in their order.
 INTERVIEW_STATUS = ["pending_audio", "pending_processing", "processing", "completed", "failed"]

@@ -5,15 +5,19 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tertulia.functions.formats import source_of
 from tertulia.schema import TRANSCRIPT_JSON
 
 RANGE_CAP = 2 * 1024**2
-#: Bytes of a WAV file that are read for its header and samples in one row; larger files keep a null sample count.
-WAV_MAX_BYTES = 1024**3
+#: Bytes of a WAV file up to which its samples come out in one row; a row holds no more than 2 GiB.
+WAV_MAX_BYTES = 512 * 1024**2
+# Sampling of normalised audio.
+SAMPLE_RATE, SAMPLE_BITS = 16_000, 16
 
 
 def jdbc_table(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
@@ -21,6 +25,11 @@ def jdbc_table(spark: SparkSession, url: str, table: str, **options: str) -> Dat
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
 
 
+def write_jdbc(rows: DataFrame, url: str, table: str, **options: str) -> None:
+    """Rows appended to a database table, with batches and partitions as the options say; ids come from catalog.appended()."""
+    rows.write.format("jdbc").mode("append").options(url=url, dbtable=table, **options).save()
+
+
 def created_tables(spark: SparkSession, script: str) -> None:
     """S3: runs a script of CREATE TABLE IF NOT EXISTS statements, which may be run again."""
     for statement in (s.strip() for s in script.split(";")):
@@ -44,7 +53,7 @@ def write_transcripts(documents: DataFrame, path: str) -> None:
 
 def read_transcripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(turns, headers) of what write_transcripts wrote; unreadable documents are left out, missing fields have their defaults."""
-    return parsed_transcripts(spark.read.option("wholetext", True).text(path))
+    return parsed_transcripts(spark.read.text(path, wholetext=True))
 
 
 def parsed_transcripts(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -75,33 +84,58 @@ def audio_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 
 
+def _wav(content: bytes) -> tuple:
+    """(number of samples, seconds, samples, error) of a mono 16-bit WAV file."""
+    if len(content) < 12 or content[:4] != b"RIFF" or content[8:12] != b"WAVE":
+        return None, None, None, "no_wav"
+    at, rate = 12, SAMPLE_RATE
+    while at + 8 <= len(content):
+        name, size = content[at : at + 4], int.from_bytes(content[at + 4 : at + 8], "little")
+        body = memoryview(content)[at + 8 : at + 8 + size]
+        if name == b"fmt " and len(body) >= 8:
+            rate = int.from_bytes(body[4:8], "little") or SAMPLE_RATE
+        if name == b"data":
+            values = np.frombuffer(body[: len(body) // 2 * 2], "<i2").astype(np.float32) / 32768
+            return len(values), len(values) / rate, values, None
+        at += 8 + size + size % 2
+    return None, None, None, "no_data"
+
+
 def wav_samples(files: DataFrame) -> DataFrame:
     """(path, n_samples, duration_s, samples, error) of mono 16-bit WAV files: samples as floats in [-1, 1).
 
-    error is 'no_wav' or 'no_data' where there is no RIFF/WAVE head or no data chunk.
+    error is 'no_wav' or 'no_data' where there is no RIFF/WAVE head or no data chunk, and
+    'too_large' of files over WAV_MAX_BYTES, which keep a row without samples: those are read by
+    S13's ranges. Files are read one at a time.
     """
 
-    def one(content: bytes) -> tuple:
-        if len(content) < 12 or content[:4] != b"RIFF" or content[8:12] != b"WAVE":
-            return None, None, None, "no_wav"
-        at, rate = 12, 16_000
-        while at + 8 <= len(content):
-            name, size = content[at : at + 4], struct.unpack("<I", content[at + 4 : at + 8])[0]
-            body = content[at + 8 : at + 8 + size]
-            if name == b"fmt " and len(body) >= 8:
-                rate = struct.unpack("<I", body[4:8])[0]
-            if name == b"data":
-                values = [x / 32768 for (x,) in struct.iter_unpack("<h", body[: len(body) // 2 * 2])]
-                return len(values), len(values) / rate, values, None
-            at += 8 + size + size % 2
-        return None, None, None, "no_data"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [one(bytes(c)) for c in b["content"]]
-            yield pd.DataFrame({"path": b["path"], "n_samples": pd.array([f[0] for f in found], "Int64"), "duration_s": [f[1] for f in found], "samples": [f[2] for f in found], "error": [f[3] for f in found]})
+            for path, content in zip(b.column(0).to_pylist(), b.column(1)):
+                n, seconds, samples, error = _wav(content.as_py()) if content.is_valid else (None, None, None, "too_large")
+                values = pa.array([samples], pa.list_(pa.float32())) if samples is None else pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(samples))
+                yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([n], pa.int64()), pa.array([seconds], pa.float64()), values, pa.array([error], pa.string())], names=["path", "n_samples", "duration_s", "samples", "error"])
+
+    kept = F.when(F.col("length") <= WAV_MAX_BYTES, F.col("content"))
+    return files.select("path", kept.alias("content")).mapInArrow(run, "path string, n_samples bigint, duration_s double, samples array<float>, error string")
+
+
+def wav_file(samples: str | Column) -> Column:
+    """The bytes of a mono 16-bit WAV file of SAMPLE_RATE: a head of 44 bytes and the samples, an array of floats in [-1, 1] that are cut to that range."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series([None if x is None else _wav_bytes(np.asarray(x, np.float32)) for x in b])
+
+    return F.pandas_udf(run, "binary")(F.col(samples) if isinstance(samples, str) else samples)
+
 
-    return files.where(F.col("length") <= WAV_MAX_BYTES).select("path", "content").mapInPandas(run, "path string, n_samples bigint, duration_s double, samples array<float>, error string")
+def _wav_bytes(samples: np.ndarray) -> bytes:
+    data = np.clip(np.rint(samples * 32768), -32768, 32767).astype("<i2").tobytes()
+    width = SAMPLE_BITS // 8
+    form = struct.pack("<HHIIHH", 1, 1, SAMPLE_RATE, SAMPLE_RATE * width, width, SAMPLE_BITS)
+    chunk = lambda name, body: name + struct.pack("<I", len(body)) + body
+    return chunk(b"RIFF", b"WAVE" + chunk(b"fmt ", form) + chunk(b"data", data))
 
 
 def range_of(header: str | Column, size: str | Column) -> Column:

@@ -1,3 +1,5 @@
+import json
+
 import duckdb
 from pyspark.sql import functions as F
 
@@ -39,13 +41,13 @@ def test_legacy(spark):
 
 
 def test_texts_of_no_interview(spark, tmp_path):
-    d = spark.createDataFrame([(1, 7, "Ana: uno\nLuis: dos"), (2, None, "Ana: uno\nLuis: dos"), (3, None, "a\nb"), (4, 7, None)], "doc_id bigint, interview_id int, text string")
+    d = spark.createDataFrame([(1, 7, "Ana: uno\nLuis: dos"), (2, None, "Ana: uno\nLuis: dos"), (3, None, "a\nb"), (4, 7, None), (2**40, 7, "c")], "doc_id bigint, interview_id int, text string")
     d.write.parquet(f"{tmp_path}/documents.parquet")
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     ids = lambda name: {r.interview_id for r in document_queries.QUERIES[name](spark, str(tmp_path)).collect()}
-    assert ids("f5_legacy_blocks") == {1, 2} and ids("f4_legacy_paragraphs") == {3} and ids("a14_label_share_all") == {1, 2, 3}
-    assert {r[0] for r in c.execute(document_queries.ORACLES["a14_label_share_all"]).fetchall()} == {1, 2, 3}
+    assert ids("f5_legacy_blocks") == {1, 2} and ids("f4_legacy_paragraphs") == {3, 2**40} and ids("a14_label_share") == {1, 2, 3, 2**40}
+    assert {r[0] for r in c.execute(document_queries.ORACLES["a14_label_share"]).fetchall()} == {1, 2, 3, 2**40}
 
 
 def test_edits(spark):
@@ -66,7 +68,7 @@ def test_edits_of_every_interview(spark, tmp_path):
     c.execute("CREATE TABLE turns AS SELECT 1 AS interview_id, CAST(k AS INT) AS pos, k * 10 AS start_ms, k * 10 + 5 AS end_ms, 'subject' AS speaker, 'abc' AS text FROM range(20001) r(k)")
     c.execute("INSERT INTO turns SELECT i, k, k * 10, k * 10 + 5, 'subject', CASE WHEN i = 2 AND k = 4 THEN 'abcde' WHEN i = 3 AND k = 6 THEN 'abcdefg' ELSE 'abc' END FROM range(2, 5) a(i), range(8) r(k)")
     c.execute(f"COPY turns TO '{tmp_path}/turns.parquet'")
-    expected = {"p5_edit_faults_all": {(1, None, "too_many"), (2, 4, "unknown_speaker"), (3, 6, "control_char")}, "p5_saved_edits_all": {(4, k, k * 10, k * 10 + 5, "subject", "abc") for k in range(8)}}
+    expected = {"p5_edit_faults": {(1, None, "too_many"), (2, 4, "unknown_speaker"), (3, 6, "control_char")}, "p5_saved_edits": {(4, k, k * 10, k * 10 + 5, "subject", "abc") for k in range(8)}}
     for name, rows in expected.items():
         assert set(map(tuple, document_queries.QUERIES[name](spark, str(tmp_path)).collect())) == rows
         assert set(c.execute(document_queries.ORACLES[name]).fetchall()) == rows
@@ -79,6 +81,38 @@ def test_edit_log(spark):
     assert got == [(0, None, "uno"), (None, 20, "dos tres")]
 
 
+def test_edits_of_a_transcript_that_is_too_long_or_blank_on_one_side(spark):
+    n = documents.EDIT_BLOCKS
+    b = spark.range(n + 5).selectExpr("1 interview_id", "cast(id as int) pos", "id start_ms", "id end_ms", "'subject' speaker", "'uno dos' text")
+    few = spark.createDataFrame([(2, 0, 0, 9, "subject", "uno dos"), (2, 1, 9, 9, None, None)], TURNS)
+    log = spark.createDataFrame([(1, 1, "remove", 0, 0), (2, 1, "split", 0, 0), (2, 2, "split", 0, 99), (2, 3, "merge", 1, 0)], "interview_id int, seq int, op string, pos int, at int")
+    got = documents.edited_blocks(b.unionByName(few), log)
+    assert got.where("interview_id = 1").agg(F.count("*"), F.countDistinct("pos"), F.max("pos")).first() == (n + 5, n + 5, n + 4)
+    assert [(r.pos, r.text) for r in got.where("interview_id = 2").collect()] == [(0, "uno dos")]
+
+
+def test_stored_texts(spark):
+    t = spark.createDataFrame([(1, "[AVISO] uno\ndos\n\nInvestigador: ¿y?\nEntrevistado:sí\nbueno\nOtro: x"), (2, "[AVISO] solo"), (3, "hola\n\nInvestigador sin dos puntos"), (4, None)], "interview_id int, text string")
+    parted = documents.without_notice(t)
+    assert {r.interview_id: r.notice for r in parted.collect()} == {1: "[AVISO] uno\ndos", 2: "[AVISO] solo", 3: None, 4: None}
+    assert [(r.speaker, r.text) for r in documents.legacy_blocks(parted, documents.LEGACY_ROLES).orderBy("block").collect()] == [("interviewer", "¿y?"), ("subject", "sí bueno Otro: x")]
+    assert [(r.interview_id, r.text) for r in documents.legacy_paragraphs(parted, documents.LEGACY_ROLES).collect()] == [(3, "hola Investigador sin dos puntos")]
+
+
+def test_documents_as_json(spark):
+    b = spark.createDataFrame([(1, 1, 1500, None, "subject", "b"), (1, 0, None, 900, None, 'a "x"')], TURNS)
+    h = spark.createDataFrame([(1, "manual", True, None, "corto"), (2, "none", False, "aviso", None)], "interview_id int, speaker_source string, edited boolean, notice string, summary string")
+    got = {r.interview_id: json.loads(r.value) for r in documents.serialized(b, h, spark.createDataFrame([(1, "Docente")], "id int, interview_subject_type string")).collect()}
+    assert got[1] == {"id": 1, "has_speakers": True, "has_timestamps": True, "speaker_source": "manual", "edited": True, "notice": None, "summary": "corto", "speakers": [{"key": "interviewer", "label": "Investigador"}, {"key": "subject", "label": "Docente"}], "blocks": [{"speaker": None, "start": None, "end": 0.9, "text": 'a "x"'}, {"speaker": "subject", "start": 1.5, "end": None, "text": "b"}]}
+    assert got[2]["blocks"] == [] and got[2]["notice"] == "aviso" and not got[2]["has_speakers"]
+
+
+def test_changed(spark):
+    a = spark.createDataFrame([(1, 0, 1, 2, "subject", "x"), (1, 0, 1, 2, "subject", "x"), (2, 0, 1, 2, None, "y"), (3, 0, None, None, None, None)], TURNS)
+    b = spark.createDataFrame([(1, 0, 1, 2, "subject", "x"), (2, 0, 1, 2, None, "y"), (3, 0, None, None, None, None), (4, 0, 1, 1, None, "z")], TURNS)
+    assert sorted(r[0] for r in documents.changed(a, b).collect()) == [1, 4] and documents.changed(a, a).count() == 0
+
+
 def test_active_blocks(spark):
     b = spark.createDataFrame([(1, 0, 10), (1, 1, None), (1, 2, 20), (1, 3, 20), (1, 4, 30)], "interview_id int, pos int, start_ms bigint")
     t = spark.createDataFrame([(1, x) for x in (9, 10, 19, 20, 29, 99)], "interview_id int, time_ms bigint")

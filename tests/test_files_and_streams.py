@@ -1,8 +1,12 @@
 import datetime
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
+from tertulia import session
+from tertulia.functions import text
+from tertulia.operators import catalog
 from tertulia.sources import files
 from tertulia.streaming import jobs
 
@@ -30,6 +34,58 @@ def test_audio(spark, tmp_path):
     assert got["a.wav"].n_samples == 4 and got["a.wav"].samples[1:3] == [0.5, -1.0] and got["b.wav"].error == "no_wav"
 
 
+def test_large_audio_keeps_its_row_and_files_are_written(spark, monkeypatch):
+    d = spark.createDataFrame([("x", [0.5, -1.0, 2.0, 1e-9]), ("y", []), ("z", None)], "path string, samples array<float>").select("path", files.wav_file("samples").alias("content"))
+    assert bytes(d.where("path = 'x'").first().content)[:44] == b"RIFF" + struct.pack("<I", 44) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 16000, 32000, 2, 16) + b"data" + struct.pack("<I", 8)
+    sized = d.withColumn("length", F.when(F.col("path") == "y", F.lit(2**31)).otherwise(F.length("content")))
+    got = {r.path: r for r in files.wav_samples(sized).collect()}
+    assert got["x"].samples == [0.5, -1.0, 32767 / 32768, 0.0] and got["y"].error == "too_large" and got["y"].samples is None and set(got) == {"x", "y", "z"}
+
+
+def test_database_there_and_back(spark):
+    url, rows = "jdbc:derby:memory:tertulia;create=true", spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    files.write_jdbc(rows, url, "things", **options)
+    more = catalog.appended(files.jdbc_table(spark, url, "things", **options).selectExpr("ID id", "NAME name"), spark.createDataFrame([(9, "z"), (7, "y")], "k int, name string"), "k")
+    files.write_jdbc(more.where("id > 2").select("id", "name"), url, "things", **options)
+    assert sorted(map(tuple, files.jdbc_table(spark, url, "things", **options).collect())) == [(1, "a"), (2, "b"), (3, "y"), (4, "z")]
+
+
+def test_script_of_tables_runs_twice(spark, tmp_path):
+    script = f"CREATE TABLE IF NOT EXISTS t_uno (id INT) USING parquet LOCATION '{tmp_path}/uno';\nCREATE TABLE IF NOT EXISTS t_dos (id INT) USING parquet LOCATION '{tmp_path}/dos';\n"
+    try:
+        files.created_tables(spark, script)
+        files.created_tables(spark, script)
+        assert spark.table("t_uno").count() == spark.table("t_dos").count() == 0
+    finally:
+        spark.sql("DROP TABLE IF EXISTS t_uno")
+        spark.sql("DROP TABLE IF EXISTS t_dos")
+
+
+def test_shared_folders_need_a_name_on_a_cluster():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://x:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        session.shared_folder(Session(), "x")
+
+
+def test_bytes_as_text(spark):
+    cases = [(b"abc \xc3", "abc \ufffd"), (b"a\xe2\x82z\xc3\xa1", "a\ufffd\u00e1"), ("ñá".encode(), "ñá"), (b"\xff\xfe", "\ufffd\ufffd"), (None, None), (b"\xf0\x9f\x98", "\ufffd" * 3), (b"", ""), (b"\xc3(x", "\ufffdx"), (b"\n\xc3\xb1\n", "\nñ\n")]
+    d = spark.createDataFrame([(k, c) for k, (c, _) in enumerate(cases)], "k int, b binary")
+    assert [r.t for r in d.select("k", text.valid_text("b").alias("t")).orderBy("k").collect()] == [t for _, t in cases]
+
+
 def test_ranges(spark):
     cases = {"bytes=0-": (0, 2097151), "bytes=-500": (2999500, 2999999), "bytes=5-7": (5, 7), "bytes=3000000-": None, "bytes=-0": None, "bytes=7-5": None, "x": None, "bytes=-": None, "bytes=-9999999": (0, 2097151)}
     d = spark.createDataFrame([(h,) for h in cases], "h string").select("h", files.range_of("h", F.lit(3_000_000)).alias("r"))

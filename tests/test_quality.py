@@ -116,3 +116,37 @@ def test_recovered_gaps_are_judged_alone(spark):
     tried = {1: [LONG] * 2, 2: [LONG] * 2, 3: [LONG] * 3, 4: ["Subtítulos por la comunidad", "sí"]}
     got = sorted((r.t0, r.text) for r in quality.accepted_recovered(retries(spark, tried)).collect())
     assert got == [(1000, LONG), (1300, LONG), (2000, LONG), (2300, LONG), (4300, "sí")]
+
+
+def test_positions_beyond_24_bits(spark):
+    far = 2**24
+    s = spark.createDataFrame([(1, p, 100 * k, 100 * k + 50, f"r{k}", [(p, p, "w")]) for k, p in enumerate([0, 1, far - 1, far, far + 1, 2**30])], SEGMENTS + ", words array<struct<start_ms:bigint,end_ms:bigint,text:string>>")
+    ranges = spark.createDataFrame([(1, 7, far, far + 1)], "interview_id int, run_id int, first_pos int, last_pos int")
+    retry = spark.createDataFrame([(1, 7, far + k, 300 + k, 310, f"n{k}") for k in range(3)], RETRY)
+    got = quality.spliced(s, ranges, retry).orderBy("pos").collect()
+    assert [(r.pos, r.text, r.words is None) for r in got] == [(0, "r0", False), (1, "r1", False), (2, "r2", False), (3, "n0", True), (4, "n1", True), (5, "n2", True), (6, "r5", False)]
+    late = spark.createDataFrame([(1, far * 3 + k, 100, 110, f"x{k}") for k in (1, 0)], SEGMENTS)
+    assert [r.text for r in quality.with_recovered(s, late).orderBy("pos").collect()] == ["r0", "r1", "x0", "x1", "r2", "r3", "r4", "r5"]
+
+
+def test_every_step_of_the_clean_up(spark):
+    loop = ["así fue la cosa entonces"] * 3
+    s = frame(spark, ["Hola.", *loop, "Subtítulos por la comunidad", *[f"uno dos tres {c}" for c in "abcdefg"], "Fin.", *["otra cosa que se repite"] * 3], 1000, 1000)
+    retry = retries(spark, {1: ["Así fue.", "La cosa."], 13: [LONG] * 3})
+    stretch = retries(spark, {3: [f"uno dos tres {c}." for c in "abcdefg"]})
+    found = spark.createDataFrame([(1, 0, 0, 500, 600, "perdido"), (1, 1, 0, 510, 600, "Gracias por ver")], RETRY)
+    got = [(r.pos, r.text) for r in quality.cleaned(s, loop_retries=retry, stretch_retries=stretch, recovered=found).orderBy("pos").collect()]
+    assert [t for _, t in got] == ["Hola.", "perdido", "Así fue.", "La cosa.", *[f"uno dos tres {c}." for c in "abcdefg"], "Fin.", "otra cosa que se repite", "[audio no transcrito 02:20-02:40]"]
+    assert [p for p, _ in got] == list(range(len(got)))
+
+
+def test_echo_filter_loses_nothing(spark):
+    rng = random.Random(2)
+    flat = quality._plain_text(quality.STYLE_PROMPT)
+    assert flat == one(spark, quality.STYLE_PROMPT, quality.plain)
+    texts = []
+    for _ in range(300):
+        a = rng.randrange(len(flat))
+        texts.append("".join(rng.choice("abxyz") for _ in range(rng.randint(0, 20))) + flat[a : a + rng.randint(10, 40)] + rng.choice(["", "zz"]))
+    expected = [len(t) >= 25 and (n := max(j - i for i in range(len(t)) for j in range(i, len(t) + 1) if t[i:j] in flat)) >= 25 and 2 * n >= len(t) for t in texts]
+    assert [r.echo for r in quality.with_echo(frame(spark, texts)).orderBy("pos").collect()] == expected and any(expected) and not all(expected)
