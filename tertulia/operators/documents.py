@@ -93,7 +93,7 @@ def _paragraph_fold():
 def paragraphs(turns: DataFrame) -> DataFrame:
     """turns without speakers as paragraphs, closed from four lines on at a sentence end (or colon), always at nine."""
     ready = spoken(turns).withColumn("_c", ends_sentence("text", ".?!:")).withColumn("pos", F.col("pos").cast("bigint"))
-    return streamed(ready, ["pos", "start_ms", "end_ms", "text", "_c"], "interview_id int, first_pos bigint, start_ms bigint, end_ms bigint, n_lines bigint, text string", _paragraph_fold)
+    return streamed(ready, ["pos", "start_ms", "end_ms", "text", "_c"], "first_pos bigint, start_ms bigint, end_ms bigint, n_lines bigint, text string", _paragraph_fold)
 
 
 LEGACY_LABEL = r"^([^:\[\]]{1,40}):\s+(.+)$"
@@ -296,4 +296,4 @@ def edited_blocks(blocks: DataFrame, log: DataFrame) -> DataFrame:
     none = lambda t: F.lit(None).cast(t)
     rows = blocks.select("interview_id", (F.col("pos").cast("bigint") - 2**40).alias("seq"), F.lit("row").alias("op"), F.col("pos").cast("int").alias("pos"), none("int").alias("at"), "start_ms", "end_ms", "speaker", "text")
     edits = log.select("interview_id", F.col("seq").cast("bigint").alias("seq"), "op", F.col("pos").cast("int").alias("pos"), F.col("at").cast("int").alias("at"), none("bigint").alias("start_ms"), none("bigint").alias("end_ms"), none("string").alias("speaker"), none("string").alias("text"))
-    return streamed(rows.unionByName(edits), ["seq", "op", "pos", "at", "start_ms", "end_ms", "speaker", "text"], "interview_id int, pos int, start_ms bigint, end_ms bigint, speaker string, text string", _edit_fold, order=["seq"])
+    return streamed(rows.unionByName(edits), ["seq", "op", "pos", "at", "start_ms", "end_ms", "speaker", "text"], "pos int, start_ms bigint, end_ms bigint, speaker string, text string", _edit_fold, order=["seq"])

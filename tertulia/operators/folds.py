@@ -26,10 +26,12 @@ def block_of(df: DataFrame, entity: str) -> Column:
 def streamed(df: DataFrame, columns: list[str], schema: str, fold: Callable[[], tuple[Callable, Callable]], entity: str = "interview_id", order: list[str] = ["pos"]) -> DataFrame:  # noqa: B006
     """Rows that a fold gives: fold() makes, for each entity, step(*row) and finish(), both of which give lists of output tuples.
 
-    columns are passed to step in order, the entity first; schema is that of the output tuples.
+    columns are passed to step in order, the entity first; output tuples have the entity and what
+    schema says.
     The groups are declared to the planner, so no plan, however it is changed while it runs, may
     cut an entity apart; rows that arrive out of order raise RuntimeError.
     """
+    schema = f"`{entity}` {df.schema[entity].dataType.simpleString()}, {schema}"
     arrow = _arrow_schema(schema, df.sparkSession)
     places = [columns.index(c) + 1 for c in order]
 

@@ -118,7 +118,7 @@ def _repeat_fold():
 def repeat_runs(segments: DataFrame) -> DataFrame:
     """(interview_id, first_pos, last_pos, n): runs of texts like the run's first one, of three (long text) or four (short) rows."""
     texts = segments.select("interview_id", F.col("pos").cast("bigint").alias("pos"), normalized("text").alias("_n"))
-    return streamed(texts, ["pos", "_n"], "interview_id int, first_pos bigint, last_pos bigint, n bigint", _repeat_fold)
+    return streamed(texts, ["pos", "_n"], "first_pos bigint, last_pos bigint, n bigint", _repeat_fold)
 
 
 def marked_loops(segments: DataFrame, loops: DataFrame) -> DataFrame:

@@ -101,7 +101,7 @@ def _chunk_fold():
 def text_chunks(rows: DataFrame) -> DataFrame:
     """(interview_id, chunk, text): lines packed in order up to CHUNK_BYTES with a line feed each; a longer line is a chunk of its own."""
     line = rows.select("interview_id", F.col("pos").cast("bigint").alias("pos"), trim("text").alias("text")).where("text <> ''")
-    placed = streamed(line.withColumn("_n", F.octet_length("text").cast("bigint")), ["pos", "_n"], "interview_id int, pos bigint, chunk int", _chunk_fold)
+    placed = streamed(line.withColumn("_n", F.octet_length("text").cast("bigint")), ["pos", "_n"], "pos bigint, chunk int", _chunk_fold)
     joined = line.join(placed, ["interview_id", "pos"])
     return joined.groupBy("interview_id", "chunk").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("text"))
 

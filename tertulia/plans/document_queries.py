@@ -176,7 +176,7 @@ def _texts(spark, d):
 _TRIMMED = "' ' || chr(9) || chr(13) || chr(10)"
 _LINES = f"""n0 AS (SELECT doc_id AS interview_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
 n1 AS (SELECT interview_id, generate_subscripts(ls, 1) AS pos, trim(unnest(ls), {_TRIMMED}) AS line FROM n0), n AS MATERIALIZED (SELECT * FROM n1 WHERE line <> ''),
-m AS MATERIALIZED (SELECT *, regexp_matches(line, '^[^:\[\]]{{1,40}}:\s+.+$') AS l FROM n), h AS (SELECT interview_id, count(*) AS n_lines, count(*) FILTER (l) AS n_labelled, count(*) FILTER (l) * 2 >= count(*) AS has_speakers FROM m GROUP BY 1)"""
+m AS MATERIALIZED (SELECT *, regexp_matches(line, '^[^:\\[\\]]{{1,40}}:\\s+.+$') AS l FROM n), h AS (SELECT interview_id, count(*) AS n_lines, count(*) FILTER (l) AS n_labelled, count(*) FILTER (l) * 2 >= count(*) AS has_speakers FROM m GROUP BY 1)"""
 
 
 @query("a14_label_share", f"WITH {_LINES} SELECT * FROM h")
@@ -184,7 +184,7 @@ def a14(spark, d):
     return documents.label_share(_texts(spark, d))
 
 
-@query("f5_legacy_blocks", f"""WITH {_LINES}, a AS (SELECT interview_id, pos, CASE WHEN l THEN regexp_extract(line, '^([^:\[\]]{{1,40}}):\s+(.+)$', 1) END AS label, CASE WHEN l THEN regexp_extract(line, '^([^:\[\]]{{1,40}}):\s+(.+)$', 2) ELSE line END AS said FROM m WHERE interview_id IN (SELECT interview_id FROM h WHERE has_speakers)),
+@query("f5_legacy_blocks", f"""WITH {_LINES}, a AS (SELECT interview_id, pos, CASE WHEN l THEN regexp_extract(line, '^([^:\\[\\]]{{1,40}}):\\s+(.+)$', 1) END AS label, CASE WHEN l THEN regexp_extract(line, '^([^:\\[\\]]{{1,40}}):\\s+(.+)$', 2) ELSE line END AS said FROM m WHERE interview_id IN (SELECT interview_id FROM h WHERE has_speakers)),
 b AS (SELECT *, last_value(label IGNORE NULLS) OVER (PARTITION BY interview_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS who FROM a), c AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR lag(who) OVER w IS DISTINCT FROM who THEN 1 ELSE 0 END AS o FROM b WINDOW w AS (PARTITION BY interview_id ORDER BY pos)),
 g AS (SELECT *, sum(o) OVER (PARTITION BY interview_id ORDER BY pos) AS block FROM c) SELECT interview_id, CAST(block AS BIGINT) AS block, min(who) AS speaker, string_agg(said, ' ' ORDER BY pos) AS text FROM g GROUP BY 1, 2""")
 def f5(spark, d):
