@@ -25,20 +25,24 @@ DICTIONARY_BYTES = 64 * 1024
 LANGUAGES, LEAST_DOCUMENTS = 12, 20
 #: Bytes that a chain costs a document for each step, and each part of the document it is applied to:
 #: a valid UTF-8 sequence hardly comes about by chance, a swap of single bytes is always possible.
-STEP_COST, PART_COST = {True: 1, False: 3}, {True: 0, False: 1}
-#: Bytes that an odd character which comes out costs.
-ODD_COST = 2
+#: Fitted by mojibake_costs on held-out documents.
+STEP_COST, PART_COST = {True: 1, False: 1}, {True: 0, False: 1}
+#: Bytes that a character which comes out odd costs: one that a UTF-8 sequence of its kind accounts for, and any
+#: other, C1 controls and letters that a swap leaves standing alone among them.
+ODD_COST, STRANGE_COST = 2, 8
+#: A character is usual if so many documents in 10,000 have it, two at least.
+USUAL_SHARE = 20
 #: Characters on both sides of what a chain changes that are measured by themselves as well.
 AROUND = 12
-#: Steps undone at most in one part.
-DEPTH = 3
 
 # Encodings that multi-byte UTF-8 is commonly read as, and single-byte pairs (read as, true).
 READ_UTF8_AS = ["cp1252", "cp1252 lower", "cp437", "cp850", "mac_roman", "cp1251", "cp1250", "iso8859-15"]
 SINGLE_BYTE = [("cp437", "cp1252"), ("cp850", "cp1252"), ("mac_roman", "cp1252"), ("cp1251", "cp1252"), ("cp1250", "cp1252"), ("cp1252", "cp850"), ("cp1252", "cp437"), ("cp1252", "mac_roman")]
 #: Marks that clean text has besides letters.
-MARKS = set("¿¡–—‘’“”…•·ºª°«»€̧̀́̂̃̈ ")
+MARKS = set("¿¡–—‘’“”…•ºª°«»€̧̀́̂̃̈ ")
 
+#: A letter that is a word by itself.
+LONE = re.compile(r"(?<![^\W\d_])[^\W\d_](?![^\W\d_])")
 PARTS = re.compile(r"[^\n.!?…]*(?:[.!?…]+[\"”»)]*[^\S\n]*|\n|$)")
 
 
@@ -81,7 +85,9 @@ def undo_utf8(text: str, encoding: str) -> str:
             found = bytes(table[c] for c in m[0]).decode("utf-8")
         except UnicodeDecodeError:
             return m[0]
-        return found.lower() if encoding.endswith(" lower") else found
+        if encoding.endswith(" lower"):
+            return m[0] if found < "\xa0" else found.lower()
+        return found
 
     return _sequences(encoding).sub(restore, text)
 
@@ -101,7 +107,11 @@ class Restorer:
         how = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
         self.by_language = [zstandard.ZstdCompressor(dict_data=d, **how) for d in made] or [zstandard.ZstdCompressor(level=3, **how)]
         self.usual = set(usual)
-        self.suspect = re.compile("[^\x00-\x7f" + re.escape("".join(sorted(self.usual))) + "]|" + _sequences("cp1252").pattern)
+        lower = "a-z" + re.escape("".join(sorted(c for c in self.usual if c.islower())))
+        upper = re.escape("".join(sorted(c for c in self.usual if c.isupper())))
+        odd = "[^\x00-\x7f" + re.escape("".join(sorted(self.usual))) + "]" + (f"|(?<=[{lower}])[{upper}]" if upper else "")
+        self.odd = re.compile(odd)
+        self.suspect = re.compile(f"{odd}|{_sequences('cp1252').pattern}")
 
     def size(self, part: str) -> int:
         """Bytes of the part compressed with the dictionary of the language that suits it best."""
@@ -109,28 +119,20 @@ class Restorer:
         return min(len(c.compress(data)) for c in self.by_language)
 
     def _odd(self, part: str) -> Counter:
-        return Counter(c for c in part if c > "\x7f" and c not in self.usual)
-
-    def _plausible(self, part: str, new: str, utf8: bool) -> bool:
-        """Whether new has no control and no odd character that part has not.
-
-        Of UTF-8 sequences odd characters may come out too: Latin-1 ones, those of three or more
-        bytes, and letters of another script if there are three or more of them.
-        """
-        if any("\x80" <= x < "\xa0" for x in new):
-            return False
-        fresh = [c for c in (self._odd(new) - self._odd(part)).elements() if not (utf8 and (c <= "\xff" or c >= "\u0800"))]
-        return not fresh or (utf8 and len(fresh) >= 3 and all(c.isalpha() and c >= "\u0370" for c in fresh))
+        """Characters that clean text has not, or not there: capitals within a word of small letters."""
+        return Counter(self.odd.findall(part))
 
     def chains(self, part: str) -> dict[tuple[str, ...], str]:
-        """Chain to plausible candidate text."""
+        """Chain to candidate text: every chain of UTF-8 sequences undone until nothing changes, and every swap of the part's upper half or of its odd characters alone."""
         found: dict[tuple[str, ...], str] = {}
         layer = {(): part}
-        for _ in range(DEPTH):
-            deeper = {}
+        while layer:  # each step makes the text shorter
+            deeper: dict[tuple[str, ...], str] = {}
+            made = set()
             for chain, text in layer.items():
                 for x in READ_UTF8_AS:
-                    if (new := undo_utf8(text, x)) != text and new not in deeper.values():
+                    if (new := undo_utf8(text, x)) != text and new not in made:
+                        made.add(new)
                         deeper[(*chain, f"{x}>utf-8")] = new
             found |= deeper
             layer = deeper
@@ -140,8 +142,29 @@ class Restorer:
                 table = _swap(read_as, true)
                 if all(ord(c) in table for c in odd):
                     found[f"{read_as}>{true}",] = part.translate(table)
-                    found[f"{read_as}>{true}, odd",] = part.translate({ord(c): table[ord(c)] for c in odd})
-        return {c: t for c, t in found.items() if t != part and self._plausible(part, t, _is_utf8(c))}
+                    found[f"{read_as}>{true}, odd",] = self.odd.sub(lambda m: table[ord(m[0])], part)  # noqa: B023
+        return {c: t for c, t in found.items() if t != part}
+
+    def worth(self, part: str, chain: tuple[str, ...], new: str) -> int:
+        """Bytes that a chain saves on a part, its cost for the part and for what comes out odd taken off.
+
+        Of a swap, what the characters save by themselves, without their surroundings, does not
+        count: letters are shorter than signs whether they make words or not.
+        """
+        saved = self.gain(part, new) - PART_COST[_is_utf8(chain)]
+        if not _is_utf8(chain):
+            swapped = [(x, y) for x, y in zip(part, new) if x != y]
+            saved -= 2 * max(0, self.size(" ".join(x for x, _ in swapped)) - self.size(" ".join(y for _, y in swapped)))
+        before, after = self._odd(part), self._odd(new)
+        odd = list((after - before).elements())
+        strange = sum("\x80" <= x < "\xa0" for x in new)
+        if _is_utf8(chain):
+            saved += ODD_COST * sum((before - after).values())  # the dictionaries think too little of what they have never seen
+            foreign = [c for c in odd if "\xff" < c < "\u0800"]  # a word of another script, or two letters that happen to be a sequence
+            strange += len(foreign) if len(foreign) < 3 or not all(c.isalpha() and c >= "\u0370" for c in foreign) else 0
+        else:
+            strange += len(odd) + sum(new[m.start()] != part[m.start()] for m in LONE.finditer(new))
+        return saved - ODD_COST * len(odd) - STRANGE_COST * strange
 
     def gain(self, part: str, new: str) -> int:
         """Bytes by which new is shorter than part: as a whole, and once more what differs with AROUND characters on both sides."""
@@ -154,8 +177,9 @@ class Restorer:
         """(text with what is wrong restored, the chains used, '' for none).
 
         The chain that saves most over the parts it makes shorter is used if it saves more than
-        it costs, then the next on the other parts. A UTF-8 chain in use also restores parts
-        that it does not make shorter, but for a part where two chains could.
+        it costs, then the next on the other parts. A chain in use also restores parts that it
+        does not make shorter (a swap: at the cost of the part), but for a part where two
+        chains could.
         """
         if not self.suspect.search(text):
             return text, ""
@@ -165,15 +189,14 @@ class Restorer:
         for k, p in enumerate(parts):
             if self.suspect.search(p):
                 for chain, new in self.chains(p).items():
-                    fresh = sum((self._odd(new) - self._odd(p)).values())
-                    gains[chain][k], made[chain, k] = self.gain(p, new) - PART_COST[_is_utf8(chain)] - ODD_COST * fresh, new
+                    gains[chain][k], made[chain, k] = self.worth(p, chain, new), new
         used = []
         saved = lambda c: sum(x for x in gains[c].values() if x > 0) - STEP_COST[_is_utf8(c)] * len(c)
         while gains:
             best = max(gains, key=lambda c: (saved(c), -len(c), c))
             if saved(best) <= 0:
                 break
-            done = [k for k, x in gains.pop(best).items() if x > 0 or _is_utf8(best) and x >= max((g.get(k, -99) for g in gains.values()), default=-99)]
+            done = [k for k, x in gains.pop(best).items() if x > 0 or (_is_utf8(best) or x >= -PART_COST[False]) and x >= max((g.get(k, -99) for g in gains.values()), default=-99)]
             for k in done:
                 parts[k] = made[best, k]
             used.append("+".join(best))
@@ -189,12 +212,26 @@ def _clean(part: str) -> bool:
     return all(c < "\x80" or c in MARKS or (c <= "\xff" and c.isalpha()) for c in part)
 
 
+def usual_characters(documents: DataFrame, text_col: str = "text") -> str:
+    """Characters beyond ASCII that clean text has, counted over all documents: in sentences whose characters beyond ASCII are Latin-1 letters or common marks, capitals within words of small letters left out."""
+    marks = re.escape("".join(sorted(MARKS)))
+    clean = F.filter(F.split(F.regexp_replace(text_col, r"(?<=\p{Ll})\p{Lu}+", ""), r"[.!?…\n]+"), lambda p: F.regexp_like(p, F.lit(rf"^[\x00-\x7f{marks}ªµº\x{{c0}}-\x{{d6}}\x{{d8}}-\x{{f6}}\x{{f8}}-\x{{ff}}]*$")))
+    letters = F.array_distinct(F.split(F.regexp_replace(F.array_join(clean, ""), r"[\x00-\x7f]", ""), ""))
+    texts = documents.where(F.regexp_like(text_col, F.lit(r"[^\x00-\x7F]")))
+    # one row a character: no more than Unicode has
+    rows = texts.select(F.explode(letters).alias("c")).where("c <> ''").groupBy("c").count().collect()
+    least = max(2, texts.count() * USUAL_SHARE // 10_000)
+    usual = {r.c for r in rows if r["count"] >= least} | MARKS
+    return "".join(sorted(usual | {c.upper() for c in usual if len(c.upper()) == 1}))
+
+
 def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limit: int = FIT_DOCUMENTS) -> tuple[list[bytes], str]:
-    """(dictionary of each language, usual characters), fitted on the limit documents with the least hashed ids.
+    """(dictionary of each language, usual characters): dictionaries fitted on the limit documents with the least hashed ids, characters counted over all.
 
     Only parts whose characters beyond ASCII are Latin-1 letters or common marks are used, of
     texts of up to FIT_CHARACTERS; languages are those of the label in lower case, rare and
-    missing ones form one. Bounds: limit, FIT_CHARACTERS, LANGUAGES, DICTIONARY_BYTES.
+    missing ones form one. Bounds of the fitted sample: limit, FIT_CHARACTERS, LANGUAGES,
+    DICTIONARY_BYTES.
     """
     # ids beyond a bound that far more than limit documents stay under cannot be among the least:
     # without it every partition would send limit texts to the driver
@@ -202,23 +239,23 @@ def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     bound = 2**40 * min(1.0, 8 * limit / max(1, documents.count()))
     fitting = documents.where(key < F.lit(int(bound))).where(F.col(text_col).isNotNull() & (F.length(text_col) <= FIT_CHARACTERS) & ~F.contains(text_col, F.lit("�")))
     rows = fitting.select(F.lower(F.trim(lang_col)).alias("l"), F.col(text_col).alias("t")).orderBy(key, F.col(id_col)).limit(limit).collect()
-    counts = Counter(r.l for r in rows if r.l)
+    return dictionaries([(r.l, r.t) for r in rows]), usual_characters(documents, text_col)
+
+
+def dictionaries(texts: list[tuple[str | None, str]]) -> list[bytes]:
+    """A dictionary for each language of (language, text), from their clean parts."""
+    counts = Counter(x for x, _ in texts if x)
     kept = {x for x, n in counts.most_common(LANGUAGES) if n >= LEAST_DOCUMENTS}
     by_language: dict[str, list[bytes]] = defaultdict(list)
-    letters: Counter = Counter()
-    for r in rows:
-        parts = [p for p in PARTS.findall(r.t) if p.strip() and _clean(p)]
-        letters.update({c for p in parts for c in p if c > "\x7f"})
-        by_language[r.l if r.l in kept else ""] += [p.encode() for p in parts]
-    dictionaries = []
+    for x, t in texts:
+        by_language[x if x in kept else ""] += [p.encode() for p in PARTS.findall(t) if p.strip() and _clean(p)]
+    found = []
     for x in sorted(by_language):
         try:
-            dictionaries.append(zstandard.train_dictionary(DICTIONARY_BYTES, by_language[x]).as_bytes())
+            found.append(zstandard.train_dictionary(DICTIONARY_BYTES, by_language[x]).as_bytes())
         except zstandard.ZstdError:  # too few samples: the parts themselves are the dictionary
-            dictionaries.append(b"".join(by_language[x])[-DICTIONARY_BYTES:] or b" " * 8)
-    least = max(2, len(rows) // 500)
-    usual = {c for c, n in letters.items() if n >= least} | MARKS
-    return dictionaries, "".join(sorted(usual | {c.upper() for c in usual if len(c.upper()) == 1}))
+            found.append(b"".join(by_language[x])[-DICTIONARY_BYTES:] or b" " * 8)
+    return found
 
 
 _restorer = functools.lru_cache(maxsize=2)(Restorer)
