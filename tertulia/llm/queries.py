@@ -49,7 +49,8 @@ def p3_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transcripts.turn_starts(table(spark, sf_dir, "import_turns"), table(spark, sf_dir, "interviews")).distinct()
+    """Start and speaker of every clean turn; its text, without repeated captions, is made as well."""
+    return p4_turns(spark, sf_dir).select("interview_id", "start_ms", "speaker").distinct()
 
 
 def p4_turns(spark: SparkSession, sf_dir: str) -> DataFrame:

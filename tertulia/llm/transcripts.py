@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tertulia.llm.roles import RoleReader, with_subject_types
-from tertulia.operators.intervals import CHUNK_BITS, CHUNK_KEY, chunk_of, with_carry
+from tertulia.operators.intervals import CHUNK_BITS, CHUNK_KEY, chunk_of, keyed, with_carry
+from tertulia.session import checkpointed
 
 #: A chunk of positions has 4,096 at most.
 POS_BITS = 12
@@ -119,37 +120,56 @@ def speech_rows(rows: DataFrame, interviews: DataFrame, bits: int = POS_BITS) ->
     return once.select("interview_id", "pos", "_r.*")
 
 
-def ordered_rows(rows: DataFrame, interviews: DataFrame, pause_ms: int | None = None, bits: int = POS_BITS, time_bits: int = CHUNK_BITS) -> DataFrame:
-    """speech_rows() with at, anchor (the pos it is ordered by), role filled, chunk, and turn, the number of its turn.
-
-    The sweep runs over (at, anchor, pos). A row without a time follows the row before it by
-    pos: it takes that row's time and anchor. Rows before any time come first, at null. A row
-    without a role continues the role before it in time (null if there is none).
-    """
-    e = ["interview_id"]
-    spoken = speech_rows(rows, interviews, bits).withColumn("_pc", chunk_of("pos", bits))
+def anchored_rows(spoken: DataFrame, bits: int = POS_BITS) -> DataFrame:
+    """speech_rows() by the time and anchor, the pos, of the row they follow: a row without a time has those of the last row by pos that has one, null and -1 without any."""
     timed = F.when(F.col("at").isNotNull(), F.struct("at", F.col("pos").alias("anchor")))
     within = Window.partitionBy(CHUNK_KEY).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    carried = with_carry(spoken, e, "_pc", {"last_timed": F.max_by(timed, F.when(F.col("at").isNotNull(), F.col("pos")))}, {"_before": F.last("last_timed", True)})
+    by_chunk = spoken.withColumn("_pc", chunk_of("pos", bits))
+    carried = with_carry(by_chunk, ["interview_id"], "_pc", {"last_timed": F.max_by(timed, F.when(F.col("at").isNotNull(), F.col("pos")))}, {"_before": F.last("last_timed", True)})
     anchored = carried.withColumn("_a", F.coalesce(F.last(timed, True).over(within), F.col("_before")))
-    swept = anchored.select("interview_id", "pos", F.col("_a.at").alias("at"), F.coalesce("_a.anchor", F.lit(-1)).alias("anchor"), "end_ms", "role", "text", chunk_of("_a.at", time_bits).alias("chunk"))
-    key = F.struct("at", "anchor", "pos")
+    return anchored.select("interview_id", "pos", F.col("_a.at").alias("at"), F.coalesce("_a.anchor", F.lit(-1)).alias("anchor"), "end_ms", "role", "text")
+
+
+def swept_rows(anchored: DataFrame, pause_ms: int | None = None, bits: int = CHUNK_BITS) -> DataFrame:
+    """anchored_rows() in order of (at, anchor, pos), with role filled from the row before, _prev, the text and _gap, the time since the row before, _opens, whether a turn begins with it, and turn, that turn's number.
+
+    Rows before any time come first. A turn begins where the role changes and, with pause_ms,
+    where more time than that has passed. One summary row a chunk of time is carried on: its
+    first and last known role, its last time and text, and how many turns begin in it for
+    certain; what comes in then tells whether turns begin with its first row and its first known role.
+    """
+    entity, place = "interview_id", F.struct("at", "anchor", "pos")
+    rows = keyed(anchored.withColumn("chunk", chunk_of("at", bits)), [entity], "chunk")
     order = Window.partitionBy(CHUNK_KEY).orderBy("at", "anchor", "pos")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    known = F.when(F.col("role").isNotNull(), key)
-    summary = {"last_role": F.max_by("role", known), "last_at": F.max("at"), "last_text": F.max_by("text", key), "rows": F.count("*")}
-    carry = {"_role": F.last("last_role", True), "_at": F.last("last_at"), "_text": F.last("last_text"), "_rows": F.sum("rows")}
-    filled = with_carry(swept, e, "chunk", summary, carry)
-    filled = filled.withColumn("role", F.coalesce(F.last("role", True).over(upto), "_role"))
-    first = F.row_number().over(order) == 1
-    before = lambda c, kept: F.when(first, F.col(kept)).otherwise(F.lag(c).over(order))
-    opens = (first & F.col("_rows").isNull()) | ~F.col("role").eqNullSafe(before("role", "_role"))
-    if pause_ms is not None:
-        opens = opens | F.coalesce(F.col("at") - before("at", "_at") > pause_ms, F.lit(False))
-    flagged = filled.withColumn("_gap", F.col("at") - before("at", "_at")).withColumn("_prev", before("text", "_text")).withColumn("_opens", opens.cast("bigint")).drop("_role", "_at", "_text", "_rows")
-    counted = with_carry(flagged, e, "chunk", {"n": F.sum("_opens")}, {"_offset": F.sum("n")})
-    turn = F.coalesce("_offset", F.lit(0)) + F.sum("_opens").over(upto)
-    return counted.withColumn("turn", turn).drop("_offset", CHUNK_KEY)
+    paused = lambda now, before: F.coalesce(now - before > pause_ms, F.lit(False)) if pause_ms is not None else F.lit(False)
+    told = rows.withColumn("_role", F.last("role", True).over(upto)).withColumn("_n", F.row_number().over(order))
+    seen = told.withColumns({"_was": F.lag("_role").over(order), "_at": F.lag("at").over(order), "_prev": F.lag("text").over(order)})
+    inner = F.col("_n") > 1
+    long = inner & paused(F.col("at"), F.col("_at"))
+    known_first = inner & F.col("_role").isNotNull() & F.col("_was").isNull()
+    sure = long | (inner & F.col("_was").isNotNull() & (F.col("_role") != F.col("_was")))
+    flagged = seen.withColumns({"_sure": F.coalesce(sure, F.lit(False)), "_first_known": known_first & ~long})
+    each = flagged.groupBy(CHUNK_KEY).agg(
+        F.min_by("role", F.when(F.col("role").isNotNull(), place)).alias("a"), F.max_by("role", F.when(F.col("role").isNotNull(), place)).alias("z"), F.count_if("_sure").alias("n"), F.bool_or("_first_known").alias("later"),
+        F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.max_by("text", place).alias("last_text"),
+    )
+    along = Window.partitionBy(F.col(f"{CHUNK_KEY}.{entity}")).orderBy(F.col(f"{CHUNK_KEY}.chunk"))
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    came = each.withColumns({"_in": F.last("z", True).over(earlier), "_in_at": F.last("last_at").over(earlier), "_in_text": F.last("last_text").over(earlier), "_start": F.row_number().over(along) == 1})
+    changes = F.col("a").isNotNull() & ~F.col("a").eqNullSafe(F.col("_in"))
+    head = F.col("_start") | paused(F.col("first_at"), F.col("_in_at")) | (changes & ~F.col("later"))
+    total = F.col("n") + head.cast("bigint") + (changes & F.col("later")).cast("bigint")
+    carry = came.withColumn("_total", total).withColumn("_offset", F.coalesce(F.sum("_total").over(earlier), F.lit(0))).withColumn("_head", head)
+    both = flagged.join(carry.select(CHUNK_KEY, "_in", "_in_at", "_in_text", "_offset", "_head", "_start"), CHUNK_KEY, "left")
+    opens = F.when(~inner, F.col("_head")).otherwise(F.col("_sure") | (F.col("_first_known") & ~F.col("_role").eqNullSafe(F.col("_in"))))
+    out = both.withColumns({"_opens": opens.cast("bigint"), "role": F.coalesce("_role", "_in"), "_gap": F.col("at") - F.when(inner, F.col("_at")).otherwise(F.col("_in_at")), "_prev": F.when(inner, F.col("_prev")).otherwise(F.col("_in_text"))})
+    return out.withColumn("turn", F.col("_offset") + F.sum("_opens").over(upto)).select(entity, "pos", "at", "anchor", "end_ms", "role", "text", "_prev", "_gap", "_opens", "turn")
+
+
+def ordered_rows(rows: DataFrame, interviews: DataFrame, pause_ms: int | None = None, bits: int = POS_BITS, time_bits: int = CHUNK_BITS) -> DataFrame:
+    """swept_rows() of the rows with speech. Rows are parsed once: what is read of them is written to the checkpoint folder."""
+    return swept_rows(anchored_rows(checkpointed(speech_rows(rows, interviews, bits)), bits), pause_ms, time_bits)
 
 
 def turn_starts(rows: DataFrame, interviews: DataFrame, pause_ms: int | None = None, **bits: int) -> DataFrame:
@@ -206,7 +226,7 @@ def clean_turns(rows: DataFrame, interviews: DataFrame, pause_ms: int | None = N
     kinds = "interview_id int, turn bigint, at bigint, anchor bigint, pos bigint, end_ms bigint, role string, text string"
     ready = ordered_rows(rows, interviews, pause_ms, **bits).select(*_KEPT[:-1], "_prev", "text", "_opens")
     parts = ready.mapInArrow(strip, kinds).groupBy("interview_id", "turn").agg(
-        F.min("at").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.first("role").alias("speaker"), F.count("*").alias("n_rows"),
+        F.min(F.struct("at", "anchor", "pos"))["at"].alias("start_ms"), F.max("end_ms").alias("end_ms"), F.first("role").alias("speaker"), F.count("*").alias("n_rows"),
         F.sort_array(F.collect_list(F.when(F.col("text") != "", F.struct("at", "anchor", "pos", "text")))).alias("_t"),
     )
     return parts.withColumn("text", F.array_join("_t.text", " ")).drop("_t")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tertulia.llm.roles import fold
 from tertulia.operators.sizes import small_side
+from tertulia.session import checkpointed
 
 #: A value may differ from an entry of so many letters and digits by 1, 2 or 3 edits.
 TWO_EDITS_FROM, THREE_EDITS_FROM = 9, 12
@@ -18,6 +19,8 @@ TWO_EDITS_FROM, THREE_EDITS_FROM = 9, 12
 MAX_ENTRIES = 1_000_000
 #: Values whose result a worker keeps at most.
 KEPT_VALUES = 200_000
+#: Tasks among which the rows of one value are spread where the mapped values are too many to broadcast.
+SALTS = 16
 
 # Letters that are heard alike.
 ALIKE = [set(x) for x in ("bv", "szcx", "ck", "kq", "gj", "iy", "mn", "td", "pb", "uv", "ao", "rl", "lf")]
@@ -158,37 +161,37 @@ def reference_entries(terms: DataFrame, id_col: str = "term_id", term_col: str =
 
 
 def spread(values: DataFrame) -> DataFrame:
-    """Rows by hash of value in as many partitions as shuffles have: the count is given, so adaptive execution keeps it."""
+    """Distinct values by hash in as many partitions as shuffles have: the count is given, as adaptive execution would join partitions by their few bytes."""
     return values.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), "value")
 
 
-def with_entries(rows: DataFrame, terms: DataFrame, keep: list[str], value_col: str = "value", **reference: str) -> DataFrame:
-    """keep's columns, value, term_id, edits, matched: each row's value and the entry it stands for; term_id -1 if none, null for null.
+def mapped_values(values: DataFrame, terms: DataFrame, value_col: str = "value", **reference: str) -> DataFrame:
+    """(value, term_id, edits, matched): each distinct value and the entry it stands for; term_id -1 if none.
 
-    Rows are spread by value, as a search costs far more than its row's bytes tell; a worker
-    keeps what it has looked up, so a value that fills a third of the rows costs one search.
+    Null values give no row. Distinct values are found before the search (combined before the
+    shuffle), so a value that fills a third of the rows is looked up once; they are spread by
+    hash, as a search costs far more than its value's bytes tell.
     """
-    entries = rows.sparkSession.sparkContext.broadcast(reference_entries(terms, **reference))
+    entries = values.sparkSession.sparkContext.broadcast(reference_entries(terms, **reference))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _vocabulary(entries.value)
         for b in batches:
-            found = [(None,) * 3 if v is None else known.best(v) for v in b.column(len(keep)).to_pylist()]
-            columns = [*b.columns, pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "value", "term_id", "edits", "matched"])
+            found = [known.best(v) for v in b.column(0).to_pylist()]
+            columns = [b.column(0), pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["value", "term_id", "edits", "matched"])
 
-    kinds = [*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep), "value string, term_id int, edits int, matched string"]
-    return spread(rows.select(*keep, F.col(value_col).cast("string").alias("value"))).mapInArrow(run, ", ".join(kinds))
+    distinct = values.select(F.col(value_col).cast("string").alias("value")).where("value is not null").distinct()
+    return spread(distinct).mapInArrow(run, "value string, term_id int, edits int, matched string")
 
 
-def mapped_values(values: DataFrame, terms: DataFrame, value_col: str = "value", **reference: str) -> DataFrame:
-    """(value, term_id, edits, matched): each distinct value and the entry it stands for; term_id -1 if none.
-
-    Null values give no row. Distinct values are found before the search (combined before the
-    shuffle), so a value that fills a third of the rows is looked up once.
-    """
-    distinct = values.select(F.col(value_col).cast("string").alias("value")).where("value is not null").distinct()
-    return with_entries(distinct, terms, [], **reference)
+def joined_back(rows: DataFrame, mapped: DataFrame, places: list[str]) -> DataFrame:
+    """rows with what mapped_values() has for their value: mapped is broadcast if it is measured to be small; if not, it has a copy for each of SALTS, so that the rows of one value, told apart by the columns places, go to as many tasks."""
+    small = small_side(mapped)
+    if small is not mapped:
+        return rows.join(small, "value")
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*places), F.lit(SALTS)))
+    return salted.join(mapped.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))), ["value", "_salt"]).drop("_salt")
 
 
 def all_matches(values: DataFrame, terms: DataFrame, value_col: str = "value", **reference: str) -> DataFrame:
@@ -220,9 +223,12 @@ def mapped_fields(interviews: DataFrame, changes: DataFrame, terms: DataFrame) -
 
     Null and blank values and empty arrays give no row; term_id is -1 where nothing is near
     enough. Rows with a null interview_id or line stay, at null. Empty tables give no rows;
-    with an empty list every value is -1.
+    with an empty list every value is -1. Distinct values are searched and written to the
+    checkpoint folder, then joined back.
     """
     typed = typed_values(interviews, changes)
-    exact = small_side(terms.select(F.col("term").alias("value")).where("value is not null").distinct(), MAX_ENTRIES)
+    exact = small_side(terms.select(F.col("term").alias("value")).where("value is not null").distinct())
+    asked = typed.join(exact, "value", "left_anti")
     keep = ["field", "interview_id", "item"]
-    return with_entries(typed.join(exact, "value", "left_anti"), terms, keep)
+    mapped = checkpointed(mapped_values(asked, terms))
+    return joined_back(asked, mapped, keep).select(*keep, "value", "term_id", "edits", "matched")

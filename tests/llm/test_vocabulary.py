@@ -1,5 +1,6 @@
 import random
 
+from tertulia.llm import vocabulary
 from tertulia.llm.roles import fold, swaps_apart
 from tertulia.llm.vocabulary import Vocabulary, all_matches, edits_for, mapped_fields, mapped_values
 
@@ -36,3 +37,15 @@ def test_fields(spark):
     values = spark.createDataFrame([("zarz",), ("zarz",), (None,), ("nope nope",)], "value string")
     assert {(r.value, r.term_id, r.edits) for r in mapped_values(values, terms).collect()} == {("zarz", 6, 1), ("nope nope", -1, None)}
     assert [(r.value, r.term_id, r.place) for r in all_matches(values, terms).collect()] == [("zarz", 6, 1)]
+
+
+def test_a_hot_value_is_searched_once_and_salted(spark, monkeypatch):
+    terms = spark.createDataFrame(TERMS, "term_id int, term string, alias string")
+    rows = spark.range(3000).selectExpr("cast(id % 50 as int) interview_id", "id line", "if(id % 3 = 0, 'novefe', concat('xyz', id)) original", "cast(null as string) term")
+    empty = spark.createDataFrame([], "id int, keywords array<string>")
+    small = {(r.item, r.term_id) for r in mapped_fields(empty, rows, terms).collect()}
+    assert small == {(k, 1 if k % 3 == 0 else -1) for k in range(3000)}
+    asked = mapped_values(rows, terms, "original")
+    assert asked.where("term_id = 1").count() == 1
+    monkeypatch.setattr(vocabulary, "small_side", lambda df, *_: df)
+    assert {(r.item, r.term_id) for r in mapped_fields(empty, rows, terms).collect()} == small
