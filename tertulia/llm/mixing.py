@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil, log2
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tertulia.llm.tokens import count_tokens
@@ -9,8 +11,13 @@ from tertulia.operators.intervals import CHUNK_KEY, with_carry
 from tertulia.operators.sizes import small_side
 from tertulia.session import checkpointed
 
-#: Chunks of the 32-bit hash key for the distributed prefix sums: at least 4,096 a source.
-KEY_BITS, CHUNK_SHIFT = 32, 20
+#: Bits of the hash key, and documents of a source that a chunk of the prefix sums has on average at most.
+KEY_BITS, CHUNK_DOCUMENTS = 32, 4_096
+
+
+def chunk_shift(documents: int) -> int:
+    """The low bits of the key that a chunk leaves out, so that the largest source's chunks have CHUNK_DOCUMENTS at most on average."""
+    return KEY_BITS - max(0, ceil(log2(max(1, documents) / CHUNK_DOCUMENTS)))
 
 
 def _hash_key(doc: str, seed: int) -> Column:
@@ -71,8 +78,9 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     sizes are written to the checkpoint folder before sums and prefix sums read them.
     """
     sized = checkpointed(_sized(documents, vocabulary))
+    most = sized.groupBy("source").count().agg(F.max("count")).first()[0] or 0
     plan = small_side(_plan(sized, targets, total_tokens).select("source", "max_repeats", "epochs", "rest"))
-    keyed = sized.join(plan, "source").withColumn("_key", _hash_key("doc_id", seed)).withColumn("_chunk", F.shiftright("_key", CHUNK_SHIFT))
+    keyed = sized.join(plan, "source").withColumn("_key", _hash_key("doc_id", seed)).withColumn("_chunk", F.shiftright("_key", chunk_shift(most)))
     within = Window.partitionBy(CHUNK_KEY).orderBy("_key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     carried = with_carry(keyed, ["source"], "_chunk", {"size": F.sum("n_tokens")}, {"_offset": F.sum("size")})
     before = F.coalesce("_offset", F.lit(0)) + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))

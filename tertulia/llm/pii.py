@@ -1,4 +1,7 @@
-"""Personal data in free text: found by the character BiLSTM-CRF of pii_model, checked, and replaced by typed placeholders."""
+"""Personal data in free text: found by the character BiLSTM-CRF of pii_model and replaced by typed placeholders.
+
+The model alone decides; its spans are only set on whole words.
+"""
 
 from __future__ import annotations
 
@@ -19,30 +22,9 @@ KEPT_SENTENCES = 300_000
 # A sentence ends at a mark behind a word of three letters or a number, before a capital: not behind initials and short forms.
 SENTENCE_END = re.compile(r"(?:(?<=[^\W\d_]{3}[.?!])|(?<=[\d)][.?!]))\s+(?=[¿¡]?[A-ZÁÉÍÓÚÑ])")
 
-# Words that make a following number or name something else than personal data.
-OTHER_NUMBERS = "serie|planilla|ticket|folio|muestra|medidor|lote|sala|página|resolución|versión|puntaje|código|factura|expediente|presupuesto de|presupuesto"
-OTHER_NAMES = "villa santa|villa san|colegio san|colegio santa|escuela|liceo|hospital|fundación|puerto|estero|cerro|caleta|población|programa|plan|red|mesa|beca|fondo|unidad|oficina|villa|alto|junta|casa del"
-NUMBER_WORDS = "cero un uno una dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciséis diecisiete dieciocho diecinueve veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento doscientos trescientos cuatrocientos quinientos seiscientos setecientos ochocientos novecientos mil"
-
-FUNCTION_WORDS = "a al ante antes así aunque bajo cada como con cuando de del desde donde durante el en entre es ese esa eso este esta esto fue ha hasta la las le les lo los más me mi muy ni no nos o para pero por porque que qué se según si sí sin sobre su también tan te todavía tu un una uno usted y ya yo"
-
-_OTHER_WORD = re.compile(rf"^(?:{OTHER_NAMES})\b|\b(?:caleta|puerto|estero|cerro|programa|beca|fondo|unidad|oficina|convenio)\b", re.I)
-_FUNCTION_WORDS = frozenset(FUNCTION_WORDS.split())
-_OTHER_NUMBER = re.compile(rf"\b(?:{OTHER_NUMBERS})\W*$", re.I)
-_OTHER_NAME = re.compile(rf"\b(?:{OTHER_NAMES})\s+$", re.I)
-_NUMBER = re.compile(rf"\d|\b(?:{NUMBER_WORDS.replace(' ', '|')}|veinti\w+)\b", re.I)
-_AT = re.compile(r"@|arroba|[\[(]at[\])]", re.I)
-_DIGIT = re.compile(r"\d|\b(?:cero|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve)\b", re.I)
-_WORD = re.compile(r"[^\W_]+")
 
-
-def checked(text: str, a: int, b: int, kind: str) -> tuple[int, int, str] | None:
-    """The span on whole words, or None if it cannot be of its kind.
-
-    An e-mail has an at sign, a telephone or identity number seven digits, figures or spoken,
-    and is no serial or file number, an address has a number and a word, a name has two letters
-    and is not that of an institution, programme or place.
-    """
+def on_whole_words(text: str, a: int, b: int) -> tuple[int, int]:
+    """The span from its first to its last letter or digit, grown to whole words; an opening +, ( or # and a bracket that it closes stay."""
     while a < b and not (text[a].isalnum() or text[a] in "+(#"):
         a += 1
     while b > a and not (text[b - 1].isalnum() or text[b - 1] == ")" and "(" in text[a:b]):
@@ -51,18 +33,7 @@ def checked(text: str, a: int, b: int, kind: str) -> tuple[int, int, str] | None
         a -= 1
     while a < b < len(text) and text[b].isalnum() and text[b - 1].isalnum():
         b += 1
-    span = text[a:b]
-    if kind == "email":
-        good = bool(_AT.search(span))
-    elif kind in ("phone", "id_number"):
-        good = len(_DIGIT.findall(span)) >= 7 and not _OTHER_NUMBER.search(text[max(0, a - 40) : a])
-    elif kind == "address":
-        good = bool(_NUMBER.search(span)) and any(len(w) > 2 and not w.isdigit() for w in _WORD.findall(span))
-    else:
-        words = _WORD.findall(span)
-        good = any(len(w) > 1 and w.lower() not in _FUNCTION_WORDS for w in words) and not any(c.isdigit() for c in span)
-        good = good and not _OTHER_WORD.search(span) and not _OTHER_NAME.search(text[max(0, a - 40) : a])
-    return (a, b, kind) if good and b > a else None
+    return a, b
 
 
 def sentences(text: str) -> list[tuple[int, str]]:
@@ -76,7 +47,7 @@ def sentences(text: str) -> list[tuple[int, str]]:
 
 
 class Finder:
-    """Finds checked spans of texts; each distinct sentence is scored once as long as it is kept."""
+    """Finds spans of texts; each distinct sentence is scored once as long as it is kept."""
 
     def __init__(self, weights: bytes):
         self.tagger = Tagger(load(weights))
@@ -91,7 +62,8 @@ class Finder:
         for lo in range(0, len(new), 8192):
             some = new[lo : lo + 8192]
             for s, spans in zip(some, self.tagger.spans(some)):
-                self.kept[s] = tuple(x for span in spans if (x := checked(s, *span)))
+                edges = [(*on_whole_words(s, a, b), kind) for a, b, kind in spans]
+                self.kept[s] = tuple((a, b, kind) for a, b, kind in edges if a < b)
         return [[(a + o, b + o, k) for o, s in p for a, b, k in self.kept[s]] for p in parts]
 
 

@@ -127,6 +127,10 @@ class Labeller:
 
 _SYLLABLES = [c + v for c in "b c d f g j l m n p r s t v z ch ll ñ qu tr br pl".split() for v in "aeiou"]
 _ENDINGS = "ez ado era ino uela ente arra illo osa ún ía al ales anca eño entes ique edo ón ardo ín ruela belsique landera quilante ñestro bideño mearín zcarra nturín ldegas valejos riñuelas carrunza rejos".split()
+# Forms that the tables have not, so that the model does not only know those that they have; # a digit, @ a capital letter, * a check digit.
+MORE_PHONES = ["### ### ###", "## #### ####", "+## ### ### ###", "(##) #### ####", "####-####", "### ## ## ##", "+### #########", "0## ### ####", "##-###-####", "########", "+1 ### ### ####"]
+MORE_IDS = ["########-*", "##.###.###-*", "###.###.###-##", "@@######", "@########", "##.###.###", "########@", "#.###.###-*", "@@@######"]
+MORE_STREETS = ["camino ", "callejón ", "diagonal ", "alameda ", "paseo ", "costanera ", "Rua ", "Travessa ", "villa ", "pje. ", "Avda. "]
 # How people bring up each kind; {} is the span.
 FRAMES = {
     "name": "Me llamo {}.;Soy {}, de acá mismo.;Conversé harto con {}.;Eso lo ve {} con su equipo.;Está en casa de {}.;Mi hija ayuda a {}.;Gracias a {} salió todo.;La doctora {} me atendió.;La señora {} me ayudó.;Don {} no vino.;El que firmó fue {}.;Fuimos con {} a la feria.;Turno de {}, creo.;Preguntó por {} y nadie sabía.;Fui donde {} ese día.;Le habla {}.;Y {} qué dijo?;Ni {} lo sabe.;{} rechaza la encuesta.;{} valora el comedor común porque había confianza.;{} evita las visitas a domicilio por temporadas.;El profesor {} dijo que no.;Mi prima {} vive al lado.".split(";"),
@@ -156,7 +160,15 @@ class Inventor:
         return (self.word(1, 2) + self.r.choice(_ENDINGS)).capitalize()
 
     def given(self) -> str:
-        return self.r.choice(GIVEN if self.r.random() < 0.6 else MORE_GIVEN)
+        x = self.r.random()
+        if x < 0.75:
+            return self.r.choice(GIVEN if x < 0.45 else MORE_GIVEN)
+        return (self.word(1, 2) + self.r.choice("a o ina ino ela elo ando iana ín án ón isa ario eria el is és ita ito".split())).capitalize()
+
+    def form(self, forms: list[str]) -> str:
+        """One of the forms with each # a digit, each @ a capital letter and each * a check digit."""
+        put = {"#": "0123456789", "@": "ABCDEFGHJKLMNPRSTUVXYZ", "*": "0123456789kK"}
+        return "".join(self.r.choice(put[c]) if c in put else c for c in self.r.choice(forms))
 
     def name(self) -> str:
         x = self.r.random()
@@ -184,11 +196,15 @@ class Inventor:
 
     def phone(self) -> str:
         d = self.digits
+        if self.r.random() < 0.3:
+            return self.form(MORE_PHONES)
         return self.r.choice([lambda: f"+56 9 0{d(3)} {d(4)}", lambda: f"+999.{d(3)}.{d(4)}", lambda: f"0056-9-0{d(7)}", lambda: f"(0{d(1)}) 555 {d(4)}", lambda: f"555 {d(2)} {d(2)}", lambda: f"9-0{d(3)}-{d(4)}", lambda: f"90{d(7)}", lambda: self._say("90" + d(7)), lambda: self._say("90" + d(7))])()
 
     def id_number(self) -> str:
         d, k = self.digits, self.r.choice("0123456789kK")
         spoken = "ka" if k in "kK" else DIGIT_WORDS[int(k)]
+        if self.r.random() < 0.3:
+            return self.form(MORE_IDS)
         return self.r.choice([lambda: f"4{d(1)}.{d(3)}.{d(3)}-{k}", lambda: f"4{d(7)}-{k}", lambda: f"4{d(1)} {d(3)} {d(3)} guion {k}", lambda: f"0-4{d(3)}-{d(4)}", lambda: f"P-00{d(5)}", lambda: f"4{d(8)}", lambda: f"{self._say('4' + d(7))} guion {spoken}"])()
 
     def street(self) -> str:
@@ -198,7 +214,8 @@ class Inventor:
 
     def address(self) -> str:
         r, d = self.r, lambda: str(self.r.randint(3, 3999))
-        street = r.choice(["calle ", "Av. ", "pasaje ", "avenida ", "", "calle "]) + self.street()
+        kind = r.choice(["calle ", "Av. ", "pasaje ", "avenida ", "", "calle "]) if r.random() < 0.75 else r.choice(MORE_STREETS)
+        street = kind + self.street()
         return r.choice([lambda: f"{street} {d()}", lambda: f"{street} N° {d()}", lambda: f"{street} número {r.choice(SPOKEN_NUMBERS)}", lambda: f"{street}, casa {r.randint(1, 99)}", lambda: f"{street} #{d()}, depto. {r.randint(1, 99)}", lambda: f"{street} {d()}-{r.choice('ABC')}", lambda: f"block {r.randint(1, 9)} depto {r.randint(1, 99)} de la calle {self.street()}"])()
 
     def place(self) -> str:

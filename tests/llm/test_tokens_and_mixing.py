@@ -62,3 +62,7 @@ def test_mix(spark):
     less = {r.source: r.n_tokens for r in mixing.shares(mixing.mix(d, t, total_tokens=9000), t).collect()}
     assert abs(sum(less.values()) - 9000) < 150
     assert mixing.mix(d.limit(0), t).count() == 0 and mixing.mix(d, t.limit(0)).count() == 0
+
+
+def test_chunks_follow_the_size_of_the_largest_source():
+    assert [mixing.chunk_shift(n) for n in (0, 1, 4096, 4097, 10**6, 10**10)] == [32, 32, 32, 31, 24, 10]
