@@ -32,6 +32,8 @@ STEP_COST, PART_COST = {True: 1, False: 1}, {True: 0, False: 1}
 ODD_COST, STRANGE_COST = 2, 8
 #: A character is usual if so many documents in 10,000 have it, two at least.
 USUAL_SHARE = 20
+#: Sizes that a worker keeps at most; only speed depends on it.
+KEPT_SIZES = 100_000
 #: Characters on both sides of what a chain changes that are measured by themselves as well.
 AROUND = 12
 
@@ -106,6 +108,7 @@ class Restorer:
             d.precompute_compress(level=3)
         how = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
         self.by_language = [zstandard.ZstdCompressor(dict_data=d, **how) for d in made] or [zstandard.ZstdCompressor(level=3, **how)]
+        self.sizes: dict[str, int] = {}
         self.usual = set(usual)
         lower = "a-z" + re.escape("".join(sorted(c for c in self.usual if c.islower())))
         upper = re.escape("".join(sorted(c for c in self.usual if c.isupper())))
@@ -115,8 +118,13 @@ class Restorer:
 
     def size(self, part: str) -> int:
         """Bytes of the part compressed with the dictionary of the language that suits it best."""
-        data = part.encode("utf-8", "surrogatepass")
-        return min(len(c.compress(data)) for c in self.by_language)
+        got = self.sizes.get(part)
+        if got is None:
+            if len(self.sizes) >= KEPT_SIZES:
+                self.sizes.clear()
+            data = part.encode("utf-8", "surrogatepass")
+            got = self.sizes[part] = min(len(c.compress(data)) for c in self.by_language)
+        return got
 
     def _odd(self, part: str) -> Counter:
         """Characters that clean text has not, or not there: capitals within a word of small letters."""
@@ -151,20 +159,25 @@ class Restorer:
         Of a swap, what the characters save by themselves, without their surroundings, does not
         count: letters are shorter than signs whether they make words or not.
         """
-        saved = self.gain(part, new) - PART_COST[_is_utf8(chain)]
-        if not _is_utf8(chain):
-            swapped = [(x, y) for x, y in zip(part, new) if x != y]
-            saved -= 2 * max(0, self.size(" ".join(x for x, _ in swapped)) - self.size(" ".join(y for _, y in swapped)))
+        utf8 = _is_utf8(chain)
         before, after = self._odd(part), self._odd(new)
         odd = list((after - before).elements())
         strange = sum("\x80" <= x < "\xa0" for x in new)
-        if _is_utf8(chain):
-            saved += ODD_COST * sum((before - after).values())  # the dictionaries think too little of what they have never seen
+        cost = PART_COST[utf8] + ODD_COST * len(odd)
+        if utf8:
+            cost -= ODD_COST * sum((before - after).values())  # the dictionaries think too little of what they have never seen
             foreign = [c for c in odd if "\xff" < c < "\u0800"]  # a word of another script, or two letters that happen to be a sequence
             strange += len(foreign) if len(foreign) < 3 or not all(c.isalpha() and c >= "\u0370" for c in foreign) else 0
         else:
             strange += len(odd) + sum(new[m.start()] != part[m.start()] for m in LONE.finditer(new))
-        return saved - ODD_COST * len(odd) - STRANGE_COST * strange
+        cost += STRANGE_COST * strange
+        if cost >= 2 * self.size(part):  # no text is shorter by more than the part and its surroundings are long
+            return -cost
+        saved = self.gain(part, new)
+        if not utf8:
+            swapped = [(x, y) for x, y in zip(part, new) if x != y]
+            saved -= 2 * max(0, self.size(" ".join(x for x, _ in swapped)) - self.size(" ".join(y for _, y in swapped)))
+        return saved - cost
 
     def gain(self, part: str, new: str) -> int:
         """Bytes by which new is shorter than part: as a whole, and once more what differs with AROUND characters on both sides."""
@@ -215,8 +228,10 @@ def _clean(part: str) -> bool:
 def usual_characters(documents: DataFrame, text_col: str = "text") -> str:
     """Characters beyond ASCII that clean text has, counted over all documents: in sentences whose characters beyond ASCII are Latin-1 letters or common marks, capitals within words of small letters left out."""
     marks = re.escape("".join(sorted(MARKS)))
-    clean = F.filter(F.split(F.regexp_replace(text_col, r"(?<=\p{Ll})\p{Lu}+", ""), r"[.!?…\n]+"), lambda p: F.regexp_like(p, F.lit(rf"^[\x00-\x7f{marks}ªµº\x{{c0}}-\x{{d6}}\x{{d8}}-\x{{f6}}\x{{f8}}-\x{{ff}}]*$")))
-    letters = F.array_distinct(F.split(F.regexp_replace(F.array_join(clean, ""), r"[\x00-\x7f]", ""), ""))
+    # a class in which every character of clean text is, so that one other ends the search
+    other = rf"[^\x00-\x7f{marks}ªµº\x{{c0}}-\x{{d6}}\x{{d8}}-\x{{f6}}\x{{f8}}-\x{{ff}}]"
+    clean = F.filter(F.split(text_col, r"[.!?…\n]"), lambda p: ~F.regexp_like(p, F.lit(other)))
+    letters = F.array_distinct(F.split(F.regexp_replace(F.array_join(clean, "\n"), r"[\x00-\x7f]+|(?<=\p{Ll})\p{Lu}", ""), ""))
     texts = documents.where(F.regexp_like(text_col, F.lit(r"[^\x00-\x7F]")))
     # one row a character: no more than Unicode has
     rows = texts.select(F.explode(letters).alias("c")).where("c <> ''").groupBy("c").count().collect()
