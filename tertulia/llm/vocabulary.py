@@ -161,8 +161,8 @@ def reference_entries(terms: DataFrame, id_col: str = "term_id", term_col: str =
 
 
 def spread(values: DataFrame) -> DataFrame:
-    """Distinct values by hash in as many partitions as shuffles have: the count is given, as adaptive execution would join partitions by their few bytes."""
-    return values.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), "value")
+    """Distinct values in as many partitions as shuffles have. The count is given, as adaptive execution would join partitions by their few bytes, and the key is a hash of the value, as the planner drops a repartition by the value itself behind the distinct."""
+    return values.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("value"))
 
 
 def mapped_values(values: DataFrame, terms: DataFrame, value_col: str = "value", **reference: str) -> DataFrame:
