@@ -48,8 +48,5 @@ def test_entry(spark):
     assert entry.entry(spark).columns == ["interview_id", "kind", "start_ms", "end_ms"]
 
 
-def test_dealt_problems_are_the_first_of_their_number():
-    names = list(entry.queries())
-    for n, dealt in ((6, "p6_ids"), (7, "p7_mix")):
-        own = [x for x in names if x.startswith(f"p{n}_")]
-        assert own[0] == min(own) == dealt
+def test_names_of_dealt_problems_6_and_7_are_left_to_them():
+    assert not [n for n in NAMES if n.startswith(("p6_", "p7_"))]
