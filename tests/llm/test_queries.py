@@ -21,3 +21,9 @@ def test_query(spark, name):
     columns = sorted(df.columns)
     theirs = c.execute(f"SELECT {', '.join(columns)} FROM ({queries.ORACLES[name]})").fetchall()
     assert sorted(map(tuple, df.select(*columns).collect()), key=repr) == sorted(map(tuple, theirs), key=repr) and theirs
+
+
+@pytest.mark.parametrize(("number", "dealt"), [(6, "p6_ids"), (7, "p7_mix")])
+def test_dealt_problem_is_the_first_of_its_number(number, dealt):
+    own = [x for x in queries.QUERIES if x.startswith(f"p{number}_")]
+    assert own[0] == min(own) == dealt
