@@ -292,7 +292,8 @@ def s8(spark, d):
 def s6(spark, d):
     """All turns with their words, written as JSON and read again."""
     folder = shared_folder(spark, "segments")
-    files.write_segments(projected_words(views.turns(spark, d).select("interview_id", "pos", "start_ms", "end_ms", "text")), folder)
+    placed = files.gathered(views.turns(spark, d).select("interview_id", "pos", "start_ms", "end_ms", "text"))
+    files.write_segments(projected_words(placed), folder, **{"compression": "gzip", "zlib.compress.level": "BEST_SPEED"})
     read = spark.read.schema(f"interview_id int, pos int, start_ms bigint, end_ms bigint, text string, words {WORDS}").json(folder)
     return read.select("interview_id", "pos", "start_ms", "end_ms", "text", F.size("words").cast("bigint").alias("n_words"))
 

@@ -16,6 +16,8 @@ from tertulia.schema import TRANSCRIPT_JSON
 RANGE_CAP = 2 * 1024**2
 #: Bytes of a WAV file up to which its samples come out in one row; a row holds no more than 2 GiB.
 WAV_MAX_BYTES = 512 * 1024**2
+#: Folders of written segments, and the column that names them.
+FOLDERS, FOLDER = 64, "folder"
 # Sampling of normalised audio.
 SAMPLE_RATE, SAMPLE_BITS = 16_000, 16
 
@@ -65,9 +67,19 @@ def parsed_transcripts(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return each.select("interview_id", "pos", "t.start_ms", "t.end_ms", role.alias("speaker"), F.coalesce("t.text", F.lit("")).alias("text")), headers
 
 
-def write_segments(segments: DataFrame, path: str) -> None:
-    """Segments with their words, or acoustic turns, as JSON lines by interview."""
-    segments.write.mode("overwrite").partitionBy("interview_id").json(path)
+def gathered(segments: DataFrame) -> DataFrame:
+    """segments with the folder of their interview, an interview's rows together and in order. Folders of much are cut into
+    several tasks, small ones share one. To be done before words are added, as the rows are shuffled and sorted."""
+    order = [c for c in ("pos", "start_ms") if c in segments.columns]
+    placed = segments.withColumn(FOLDER, F.pmod(F.hash("interview_id"), F.lit(FOLDERS))).hint("rebalance", F.col(FOLDER))
+    return placed.sortWithinPartitions(FOLDER, "interview_id", *order)
+
+
+def write_segments(segments: DataFrame, path: str, **options: str) -> None:
+    """Segments with their words, or acoustic turns, as JSON lines. All lines of an interview are in one of
+    FOLDERS folders, so files grow with the bytes and not with interviews times tasks."""
+    placed = segments if FOLDER in segments.columns else gathered(segments)
+    placed.write.mode("overwrite").partitionBy(FOLDER).options(**options).json(path)
 
 
 def write_texts(texts: DataFrame, path: str) -> None:

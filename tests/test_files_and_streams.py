@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tertulia import session
 from tertulia.functions import text
-from tertulia.operators import catalog
+from tertulia.operators import catalog, speakers
+from tertulia.schema import SEGMENTS
 from tertulia.sources import files
 from tertulia.streaming import jobs
 
@@ -102,6 +103,21 @@ def test_tables_and_texts(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "s")).count() == 1
 
 
+def test_segments_need_few_files_however_many_interviews(spark, tmp_path):
+    rows = [(k % 301 or None, k // 301, k, k + 9, f"uno dos {k}" if k % 7 else "") for k in range(2408)]
+    d = spark.createDataFrame(rows, "interview_id int, pos int, start_ms bigint, end_ms bigint, text string")
+    folder = tmp_path / "s"
+    files.write_segments(speakers.projected_words(files.gathered(d.repartition(8))), str(folder), compression="gzip")
+    assert len(list(folder.rglob("part-*"))) <= files.FOLDERS and all(p.name.endswith(".json.gz") for p in folder.rglob("part-*"))
+    read = spark.read.schema(SEGMENTS).json(str(folder))
+    assert sorted((r.interview_id or 0, r.pos, r.start_ms, r.end_ms, r.text, [w.text for w in r.words]) for r in read.collect()) == sorted((i or 0, *rest, said, said.split()) for i, *rest, said in rows)
+    plain = tmp_path / "plain"
+    files.write_segments(d.repartition(8).drop("pos"), str(plain))
+    assert len(list(plain.rglob("part-*"))) <= files.FOLDERS and spark.read.json(str(plain)).count() == len(rows)
+    homes = spark.read.json(str(plain)).select("interview_id", F.regexp_extract(F.input_file_name(), "folder=([0-9]+)", 1).alias("f")).distinct()
+    assert homes.count() == 301
+
+
 def test_job_stream(spark, tmp_path):
     at = lambda s: datetime.datetime(2024, 1, 1, 0, 0, s)
     rows = [(1, 7, "enqueue", None, at(0)), (1, 7, "start", None, at(1)), (1, 7, "step", "diarizando", at(2)), (1, 7, "complete", None, at(3)), (1, 7, "start", None, at(4)), (2, 8, "start", None, at(0)), (3, 9, "enqueue", None, at(0)), (3, 9, "fail", None, at(1))]
